@@ -181,8 +181,8 @@ class ToxicityModel:
         return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[list[float], float]:
-    """Weighted logistic regression by Newton's method; the weights of features are held at zero or above zero as evidence only adds."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 50) -> tuple[list[float], float]:
+    """Weighted logistic regression with a ridge penalty, by Newton's method: weights and bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     b, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * weight.sum())
     penalty[-1] = 1e-6
@@ -196,7 +196,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b[:-1].tolist(), float(b[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_contexts: int = 8, lift: float = 20.0, most_entries: int = 5000, window: int = 6, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_contexts: int = 5, lift: float = 30.0, most_entries: int = 5000, window: int = 6, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from ``docs`` that ``labels`` (doc_id, toxic) covers.
 
     The fit uses a bounded sample: about ``per_class`` documents of each label, chosen by a hash of doc_id, whole texts.
