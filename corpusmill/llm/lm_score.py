@@ -34,8 +34,8 @@ from corpusmill.llm.common import materialize, text_chunks
 END = "\n"
 SEED = 42
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
-TOP_TOKENS = 1 << 20
-MOST_BITS = 1 << 28
+TOP_TOKENS = 1 << 18
+MOST_BITS = 1 << 27
 BITS_PER_ENTRY = 12
 PROBES = 6
 #: Counts are quantised by powers of this.
@@ -224,8 +224,9 @@ def build_filter(grams: DataFrame, segment_bits: int, most_bits: int = MOST_BITS
 
     whole = np.zeros(bits // 8, np.uint8)
     # at most ``most_bits`` in all
-    for r in grams.select("segment", "keys1", "counts1", "keys2", "counts2").mapInArrow(fill, "segment long, bits binary").collect():
-        whole[r.segment * (part // 8) : (r.segment + 1) * (part // 8)] = np.frombuffer(r.bits, np.uint8)
+    filled = grams.select("segment", "keys1", "counts1", "keys2", "counts2").mapInArrow(fill, "segment long, bits binary").toArrow()
+    for segment, own in zip(filled.column("segment").to_pylist(), filled.column("bits"), strict=True):
+        whole[segment * (part // 8) : (segment + 1) * (part // 8)] = np.frombuffer(own.as_buffer(), np.uint8)
     return LogFrequencyBloom(whole, segment_bits, lowest)
 
 
@@ -264,10 +265,12 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     grams = materialize(count_ngrams(learn, segment_bits), "lm-ngrams")
     model = build_filter(grams, segment_bits, most_bits)
     # at most ``top_tokens`` rows
-    top = vocabulary.where(F.col("c") >= least).select(F.xxhash64("token").alias("h"), "c").toPandas()
-    top_hash = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = vocabulary.where(F.col("c") >= least).select(F.xxhash64("token").alias("h"), "c").toArrow()
+    top_hash, top_count = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "c"))
+    top_hash = top_hash.view(np.uint64)
     by_hash = np.argsort(top_hash)
-    shared = sc.broadcast((model, top_hash[by_hash], top["c"].to_numpy(np.int64)[by_hash]))
+    shared = sc.broadcast((model, top_hash[by_hash], top_count[by_hash]))
+    del top
     denominator = total + 0.5 * (distinct + 1)
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
