@@ -53,7 +53,7 @@ def admit(rows: DataFrame, admission: float = 0.0) -> DataFrame:
     and where the key is null the first with the same text.
     """
     checked = rows.withColumns({"quality": T.sentence_quality("text"), "content_key": T.content_key("text"), "plain": F.lower(T.strip("text"))})
-    passes = (F.col("quality") >= admission) & F.length("text").between(4, 600) & (F.size(T.terms("text")) > 0) & ~T.is_junk("text")
+    passes = (F.col("quality") >= admission) & F.length("text").between(4, 600) & F.col("text").rlike(r"[\p{L}\p{N}]") & ~T.is_junk("text")
     checked = checked.withColumn("key", F.when(passes, F.sha2(F.coalesce(F.concat(F.lit("k"), "content_key"), F.concat(F.lit("t"), "plain")), 256)))
     won = first_wins(checked, "key")
     status = F.when(F.col("key").isNull(), "rejected").when(F.col("first") == F.col("seq"), "kept").otherwise("duplicate")
