@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.store import stored
 
 #: Sentence numbers leave room for so many sentences in a document.
 PER_DOCUMENT = 1_000_000
@@ -55,7 +56,8 @@ def admit(rows: DataFrame, admission: float = 0.0) -> DataFrame:
     checked = rows.withColumns({"quality": T.sentence_quality("text"), "content_key": T.content_key("text"), "plain": F.lower(T.strip("text"))})
     passes = (F.col("quality") >= admission) & F.length("text").between(4, 600) & F.col("text").rlike(r"[\p{L}\p{N}]") & ~T.is_junk("text")
     checked = checked.withColumn("key", F.when(passes, F.sha2(F.coalesce(F.concat(F.lit("k"), "content_key"), F.concat(F.lit("t"), "plain")), 256)))
-    won = first_wins(checked, "key")
+    # read twice: for the first of each key, and for the rows
+    won = first_wins(stored(checked.select(*rows.columns, "quality", "key"), "checked"), "key")
     status = F.when(F.col("key").isNull(), "rejected").when(F.col("first") == F.col("seq"), "kept").otherwise("duplicate")
     return won.select(*rows.columns, "quality", status.alias("status"), F.col("first").alias("origin"))
 

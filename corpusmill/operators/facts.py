@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
+from corpusmill.operators.store import stored
 
 FACT = "struct<subject:string,relation:string,object:string>"
 
@@ -75,6 +76,7 @@ def extract(t: Column) -> Column:
 def facts(rows: DataFrame) -> DataFrame:
     """seq, source, subject_key, subject, relation, object of numbered sentences; sentences that cannot state one go first."""
     some = rows.where(may_state_fact(F.col("text"))).select("seq", "source", extract(F.col("text")).alias("f")).where("f is not null")
+    some = stored(some, "facts")  # few of the sentences
     return some.select("seq", "source", T.subject_key("f.subject").alias("subject_key"), "f.subject", "f.relation", "f.object")
 
 

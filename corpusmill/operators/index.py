@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.store import stored
 
 TF_MOST = 255
 
@@ -30,6 +31,7 @@ def related_terms(posted: DataFrame, wanted: DataFrame, k: int = 3, newest: int
 
     Of each wanted term only the ``newest`` sentences count, so their terms are few whatever the corpus holds.
     """
+    posted = stored(posted, "postings")
     n = posted.select(F.countDistinct(key).alias("n"))
     df = document_frequency(posted)
     newest_of = Window.partitionBy("term").orderBy(F.desc(key))

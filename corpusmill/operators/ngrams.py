@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
+from corpusmill.operators.store import stored
 
 START, STOP = "<s>", "</s>"
 #: Ids of unknown, start and end.
@@ -68,6 +69,7 @@ def probabilities(asked: DataFrame, counted: DataFrame, orders: int = 3, discoun
 
     A base of continuation counts, then one pair of left joins for each order; unseen contexts are passed over.
     """
+    counted = stored(counted, "ngrams")
     cont = continuations(counted)
     sums = cont.agg(F.coalesce(F.sum("cont"), F.lit(0)).alias("cont_total")).join(counted.where("n = 0").agg((F.count(F.lit(1)) + SPECIALS).alias("v")), F.lit(True))
     out = asked.withColumn("tok", F.element_at("ids", F.col("i") + 1)).join(cont, "tok", "left").join(F.broadcast(sums), F.lit(True))

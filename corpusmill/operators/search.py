@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
+from corpusmill.operators.store import stored
 
 
 def query_terms(queries: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -26,12 +27,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, extra: DataFrame | Non
     Only postings of terms that some query has are counted and shuffled. Terms in more than a fifth of the sentences
     count only where a query has no other.
     """
-    asked = query_terms(queries, extra)
-    bags = docs.select("seq", "quality", T.terms("text").alias("t")).where(F.size("t") > 0)
+    asked = stored(query_terms(queries, extra), "query-terms")
+    bags = stored(docs.select("seq", "quality", T.terms("text").alias("t")).where(F.size("t") > 0), "bags")
     sums = bags.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     wanted = asked.select("term").distinct()
     hits = bags.select("seq", "quality", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     posted = hits.groupBy("term", "seq", "quality", "dl").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("tf"))
+    posted = stored(posted, "postings")
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = asked.join(df, "term").join(F.broadcast(sums), F.lit(True))
     limit = F.greatest(F.lit(K.STOP_FLOOR), F.floor(F.col("n") * K.STOP_RATIO))

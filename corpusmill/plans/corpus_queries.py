@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
 from corpusmill.operators import corpus, index, ngrams
+from corpusmill.operators.store import stored
 from corpusmill.plans import duck, golden
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.text_queries import sentences
@@ -206,7 +207,7 @@ p2 AS (SELECT p1.* EXCLUDE (p), CASE WHEN h.total IS NULL THEN p ELSE greatest(c
 
 
 def held_probabilities(spark: SparkSession, sf: str, orders: int = 3, discount: float = K.DISCOUNT) -> DataFrame:
-    rows = corpus.holdout(numbered(spark, sf))
+    rows = stored(corpus.holdout(numbered(spark, sf)), "holdout")
     made = ngrams.counts(ngrams.events(rows.where("NOT held_out"), orders))
     return ngrams.probabilities(ngrams.asked(rows.where("held_out"), ["seq"]), made, orders, discount)
 
