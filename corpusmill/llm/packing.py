@@ -38,7 +38,7 @@ END_ID = 1
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where a cut before each space could fall into a run of blanks; such texts are encoded as a whole.
 BLANK_RUN = r" [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]| $"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 BROADCAST_SOURCES = 100_000
 
 
@@ -124,7 +124,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for part in text_chunks(batches, "text", 16 << 20):
+        for part in text_chunks(batches, "text", 4 << 20):
             ids = encode.batch(part.column("text"))
             columns = [part.column("row"), part.column("doc_id"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "source", "n", "ids"])
