@@ -11,7 +11,7 @@ from corpusmill.operators.store import stored
 
 FACT = "struct<subject:string,relation:string,object:string>"
 
-#: The sentence patterns, in the order they are tried: name, pattern, groups of subject, relation (0: the name) and object.
+#: The sentence patterns, in the order they are tried: name, pattern, groups of subject, relation (0: the name) and object.
 JAPANESE = (
     ("definition", rf"{K.LEAD_IN}{K.SUBJECT}\s*とは、?\s*{K.OBJECT}\s*(?:のこと)?(?:である|です|を指す|をいう|と呼ばれる)[。.]?$", 1, 0, 2),
     ("attr", rf"{K.LEAD_IN}{K.SUBJECT}\s*の\s*({K.ATTRIBUTE})\s*は、?\s*{K.OBJECT}\s*(?:である|です|だ|になる|となる)?[。.]?$", 1, 2, 3),
@@ -28,6 +28,7 @@ ENGLISH = (
 PLACED = r"(?:に位置する|にある|にあります|に属する)$"
 PARTICLES = "[のがはをにでと]"
 
+# The question patterns.
 JA_ATTRIBUTE_QUESTION = rf"^{K.SUBJECT}\s*の\s*({K.ATTRIBUTE})\s*(?:は|って|を教えて|は何|はどこ|はいつ|はどれくらい|はいくつ)?[?？]?\s*(?:何|なに|どこ|いつ|誰|だれ|どれくらい|いくつ|教えて)?(?:ですか|でしょうか|か)?[?？。]*$"
 JA_WH_QUESTION = rf"^{K.SUBJECT}\s*(?:は|が|って)\s*(?:一体)?(いつ|どこ|誰|だれ|何処)"
 JA_DEFINITION_QUESTION = rf"^{K.SUBJECT}\s*(?:とは|って|とは何|って何|ってなに|とはなに|について教えて|を教えて|とは何ですか|って何ですか)[?？。]*$"
