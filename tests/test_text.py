@@ -190,3 +190,13 @@ def test_index_vectors_are_stable(spark):
 
 def test_encoding_is_greedy():
     assert models.encode("abcab?", {"a": 1, "ab": 2, "abc": 3, "b": 4}, 3) == [3, 2, 0]
+
+
+def test_expectations(spark, sf):
+    from corpusmill.plans import judging_queries
+
+    assert {r.id: r.ok for r in judging_queries.expectation_judge(spark, sf).collect()} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: False}
+    said = {r.id: r.text for r in judging_queries.reply_format(spark, sf).collect()}
+    assert said == {1: "・一文目です。\n・二文目です。", 2: "一文目です。", 3: "これは長い文です…", 4: "そのままです。"}
+    got = {r.id: r.winner for r in judging_queries.compare_by_fact(spark, sf).collect()}
+    assert got == {2: "東京"}
