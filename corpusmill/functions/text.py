@@ -92,7 +92,10 @@ def _weak_pair(pair: Column) -> Column:
 
 def terms(c: Text) -> Column:
     """Search terms, repeats included: Latin words, CJK pairs and runs; the letters and digits of a text without any."""
-    low = F.lower(normalize(c))
+    return let(F.lower(normalize(c)), _terms)
+
+
+def _terms(low: Column) -> Column:
     latin = F.filter(all_matches(low, K.LATIN), lambda w: F.length(w) >= 2)
 
     def pairs(run: Column) -> Column:
@@ -101,7 +104,7 @@ def terms(c: Text) -> Column:
 
     cjk = F.flatten(F.transform(all_matches(low, K.CJK_RUN), pairs))
     runs = F.filter(all_matches(low, K.KANJI_KATAKANA_RUN), lambda r: F.length(r).between(2, 12))
-    some = F.when(low.rlike(r"[^\x00-\x7F]"), F.concat(latin, cjk, runs)).otherwise(latin)
+    some = F.when(low.rlike(r"[\x{3000}-\x{D7AF}]"), F.concat(latin, cjk, runs)).otherwise(latin)
     return let(some, lambda t: F.when(F.size(t) > 0, t).otherwise(all_matches(low, r"[\p{L}\p{N}]")))
 
 
@@ -143,7 +146,7 @@ def strong_terms(c: Text) -> Column:
 
     cjk = F.flatten(F.transform(all_matches(low, K.CJK_RUN), pairs))
     runs = F.filter(all_matches(low, K.KANJI_KATAKANA_RUN), lambda r: F.length(r).between(2, 12))
-    some = F.when(low.rlike(r"[^\x00-\x7F]"), F.concat(latin, cjk, runs)).otherwise(latin)
+    some = F.when(low.rlike(r"[\x{3000}-\x{D7AF}]"), F.concat(latin, cjk, runs)).otherwise(latin)
     return F.array_sort(F.array_distinct(some))
 
 

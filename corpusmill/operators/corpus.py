@@ -16,7 +16,9 @@ BLOCK = 4096
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, source, text: the sentences of each document, in order; no shuffle."""
-    return docs.select("doc_id", "source", F.posexplode(T.split_sentences("text")).alias("pos", "text")).select("doc_id", F.col("pos").cast("long").alias("pos"), "source", "text")
+    # not a plain explode: the optimiser would compute the sentences once more, to drop documents without any
+    found = docs.select("doc_id", "source", F.posexplode_outer(T.split_sentences("text")).alias("pos", "text")).where("pos is not null")
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "source", "text")
 
 
 def numbered(rows: DataFrame) -> DataFrame:

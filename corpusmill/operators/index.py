@@ -13,7 +13,7 @@ TF_MOST = 255
 
 def postings(rows: DataFrame, key: str = "seq") -> DataFrame:
     """key, term, tf for every term of each text; counted map-side before the shuffle."""
-    counted = rows.select(key, F.explode(T.terms("text")).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = rows.select(key, F.explode_outer(T.terms("text")).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     return counted.withColumn("tf", F.least("tf", F.lit(TF_MOST)).cast("long"))
 
 

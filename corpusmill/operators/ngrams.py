@@ -33,7 +33,7 @@ def events(rows: DataFrame, orders: int = 3, keep: list[str] | None = None) -> D
 
     ids = sequence_of(T.all_matches(F.lower("text"), K.WORD))
     keep = keep or []
-    return rows.select(*keep, F.explode(T.let(ids, of)).alias("e")).select(*keep, "e.n", "e.ctx", "e.tok")
+    return rows.select(*keep, F.explode_outer(T.let(ids, of)).alias("e")).where("e is not null").select(*keep, "e.n", "e.ctx", "e.tok")
 
 
 def _event(ids: Column, i: Column, n: int) -> Column:
@@ -125,7 +125,7 @@ def subword_counts(rows: DataFrame) -> DataFrame:
     def pieces(run: Column) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.length(run))), lambda k: F.transform(F.sequence(F.lit(1), F.length(run) - k + 1), lambda i: F.substr(run, i, k))))
 
-    return rows.select(F.explode(F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= 2), pieces))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.explode_outer(F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= 2), pieces))).alias("gram")).where("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def subword_vocabulary(rows: DataFrame, size: int = 500, least: int = 2) -> DataFrame:
@@ -142,7 +142,7 @@ def cooccurrence(rows: DataFrame, window: int = K.WINDOW) -> DataFrame:
         places = F.sequence(F.lit(1), F.size(p))
         return F.flatten(F.transform(places, lambda i: F.transform(F.filter(F.sequence(F.greatest(i - window, F.lit(1)), F.least(i + window, F.size(p))), lambda j: j != i), lambda j: F.struct(F.element_at(p, i).alias("term"), F.element_at(p, j).alias("neighbour"), F.when(F.abs(i - j) == 1, 2).otherwise(1).alias("w")))))
 
-    return found.select(F.inline(around(F.col("p")))).groupBy("term", "neighbour").agg(F.sum("w").alias("weight"))
+    return found.select(F.inline_outer(around(F.col("p")))).where("term is not null").groupBy("term", "neighbour").agg(F.sum("w").alias("weight"))
 
 
 def backoff(counted: DataFrame, orders: int) -> DataFrame:

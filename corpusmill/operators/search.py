@@ -12,7 +12,7 @@ from corpusmill.operators.store import stored
 
 def query_terms(queries: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """id, term, qw (how often the query says it, two at most, or the weight of an extra term), tw, own, total_w."""
-    said = queries.select("id", F.explode(T.terms("text")).alias("term")).groupBy("id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("double").alias("qw"))
+    said = queries.select("id", F.explode_outer(T.terms("text")).alias("term")).where("term is not null").groupBy("id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("double").alias("qw"))
     said = said.withColumn("own", F.lit(True))
     if extra is not None:
         more = extra.select("id", "term", "qw", F.lit(False).alias("own")).join(said.select("id", "term"), ["id", "term"], "left_anti")
