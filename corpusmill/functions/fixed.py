@@ -119,3 +119,7 @@ MULTIPLIERS = {"億": 1e8, "万": 1e4, "千": 1e3}
 K1, B, PHRASE_BONUS, STOP_RATIO, STOP_FLOOR = 1.4, 0.6, 1.5, 0.2, 50
 DISCOUNT = 0.75
 DIMENSIONS, NONZERO, WINDOW = 128, 8, 3
+
+# Runs of characters that may name the subject of a request, and nouns that name none.
+KEY_RUN = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]{2,}|[\x{30A0}-\x{30FF}]{2,}|[a-z0-9]{3,}"
+GENERIC_KEYS = ("作り方", "仕組み", "意味", "方法", "理由", "違い", "使い方", "特徴", "説明", "定義", "種類", "場所", "時間", "関係")

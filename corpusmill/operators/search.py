@@ -49,6 +49,43 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, extra: DataFrame | Non
     return ranked.where(F.col("rank") <= k).select("id", "seq", "score", "cover", F.col("rank").cast("long").alias("rank"))
 
 
+def gram_search(docs: DataFrame, queries: DataFrame, k: int = 3, k1: float = K.K1, b: float = K.B) -> DataFrame:
+    """id, seq, score, rel, rank: BM25 over pairs of characters, for texts without word boundaries; rel is relative to the best.
+
+    Pairs in over a fifth of the texts count only for queries of at most two pairs.
+    """
+    asked = stored(queries.select("id", F.explode(F.array_distinct(T.character_grams("text"))).alias("gram")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("id"))), "query-grams")
+    bags = stored(docs.select("seq", T.character_grams("text").alias("g")), "grams")
+    sums = bags.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("g")).alias("mean"))
+    hits = bags.select("seq", F.size("g").alias("dl"), F.explode("g").alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    posted = stored(hits.groupBy("gram", "seq", "dl").agg(F.count(F.lit(1)).alias("tf")), "gram-postings")
+    known = asked.join(posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram").join(F.broadcast(sums), F.lit(True))
+    known = known.where((F.col("df") <= F.col("n") * K.STOP_RATIO) | (F.col("size") <= 2))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
+    scored = known.join(posted, "gram").groupBy("id", "seq").agg(F.round(F.sum(weight), 6).alias("score"))
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "seq")
+    ranked = scored.withColumns({"rank": F.row_number().over(w).cast("long"), "rel": F.round(F.col("score") / F.max("score").over(Window.partitionBy("id")), 6)})
+    return ranked.where(F.col("rank") <= k).select("id", "seq", "score", "rel", "rank")
+
+
+def grounded(hits: DataFrame, queries: DataFrame, most: int = 200) -> DataFrame:
+    """id, context, off_topic: the texts of a query's hits (id, rank, text), those that say its key words first.
+
+    The longest key must occur if it has four characters; else any does. If no hit says a key there is no context.
+    """
+    keys = F.filter(T.all_matches(F.lower("text"), K.KEY_RUN), lambda x: ~x.isin(*K.GENERIC_KEYS))
+    asked = queries.select("id", keys.alias("keys"))
+    lists = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
+    longest = F.reduce("keys", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    needed = F.when(F.length("longest") >= 4, F.array("longest")).otherwise(F.col("keys"))
+    says = lambda t: (F.size("keys") == 0) | F.exists("needed", lambda key: F.exists(F.concat(F.array(key), F.filter(F.split(key, "・"), lambda x: F.length(x) >= 2)), lambda x: F.instr(t, x) > 0))
+    rows = asked.join(lists, "id").withColumn("longest", longest).withColumn("needed", needed)
+    rows = rows.withColumns({"on": F.filter("h", lambda x: says(x["text"])), "off": F.filter("h", lambda x: ~says(x["text"]))})
+    joined = F.array_join(F.transform(F.concat("on", "off"), lambda x: x["text"]), " ")
+    return rows.select("id", F.when(F.size("on") > 0, F.substr(joined, F.lit(1), F.lit(most))).alias("context"), (F.size("on") == 0).alias("off_topic"))
+
+
 def confidence(score: Column, cover: Column, penalty: float = 1.0) -> Column:
     return (0.65 * cover + 0.35 * (1 - F.exp(-score / 6))) * penalty
 
