@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "bm25_search"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("text_queries", "corpus_queries", "retrieval_queries", "fact_queries", "dialog_queries", "adaptive_queries", "model_queries", "judging_queries", "training_queries")
+MODULES = ("text_queries", "corpus_queries", "retrieval_queries", "fact_queries", "dialog_queries", "adaptive_queries", "model_queries", "judging_queries", "training_queries", "control_queries")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
