@@ -78,13 +78,13 @@ def diverse_summary(spark, sf):
 
 
 _GP = r"regexp_replace(lower(t), '\s+', '', 'g')"
-_GRAMS = f"list_filter(list_transform(range(1, greatest(length({_GP}), 1)), lambda i: substr({_GP}, i, 2)), lambda x: NOT regexp_matches(x, '[、。，．,.!?！？「」『』()（）・]'))"
-_EITHER = f"CASE WHEN len({_GRAMS}) = 0 AND {_GP} <> '' THEN [{_GP}] ELSE {_GRAMS} END"
+_GRAMS = f"list_filter(list_transform(range(1, greatest(length(p), 1)), lambda i: substr(p, i, 2)), lambda x: NOT regexp_matches(x, '[、。，．,.!?！？「」『』()（）・]'))"
+_EITHER = "CASE WHEN len(g) = 0 AND p <> '' THEN [p] ELSE g END"
 
 
 @query(
-    f"""WITH {SENTENCES}, d AS (SELECT seq, {_EITHER} AS g FROM (SELECT seq, text AS t FROM numbered)), st AS (SELECT count(*) AS n, avg(len(g)) AS mean FROM d),
-q AS (SELECT id, unnest(g) AS gram, len(g) AS size FROM (SELECT i AS id, list_distinct({_EITHER}) AS g FROM ({golden.values(golden.QUESTIONS)}) v(i, t))),
+    f"""WITH {SENTENCES}, d AS (SELECT seq, {_EITHER} AS g FROM (SELECT seq, p, {_GRAMS} AS g FROM (SELECT seq, {_GP} AS p FROM (SELECT seq, text AS t FROM numbered)))), st AS (SELECT count(*) AS n, avg(len(g)) AS mean FROM d),
+q AS (SELECT id, unnest(g) AS gram, len(g) AS size FROM (SELECT id, list_distinct({_EITHER}) AS g FROM (SELECT id, p, {_GRAMS} AS g FROM (SELECT i AS id, {_GP} AS p FROM ({golden.values(golden.QUESTIONS)}) v(i, t))))),
 p AS (SELECT gram, seq, dl, count(*) AS tf FROM (SELECT seq, len(g) AS dl, unnest(g) AS gram FROM d) WHERE gram IN (SELECT gram FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT gram, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT id, seq, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.4 + 0.6 * dl / mean))), 6) AS score FROM q JOIN p USING (gram) JOIN df USING (gram), st WHERE df <= n * 0.2 OR size <= 2 GROUP BY 1, 2),
