@@ -51,6 +51,24 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", broadca
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 
+def one_each(docs: DataFrame, found: DataFrame, grouped: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """The rows that stay of each group, one physical row a group, with all columns of ``docs``.
+
+    ``found`` has doc_id and kept for each row. Rows whose doc_id does not repeat are decided by it. The others are
+    numbered and decided by row: ``grouped`` adds doc_id, group, kept and worse to them (any order of the kept rows).
+    """
+    ids = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept"), "verdicts")
+    alone = without(docs, ids.select("doc_id"), id_col)
+    again = ids.where("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return alone
+    many = docs.join(again.hint("merge"), F.col(f"`{id_col}`") == F.col("__again"), "left_semi")
+    many = materialize(many.withColumn("__row", F.monotonically_increasing_id()), "repeated-ids")
+    best = grouped(many).where("kept").groupBy("group").agg(F.min(F.struct("worse", "__row")).alias("best"))
+    best = best.select(F.col("best.__row").alias("__row"))
+    return alone.unionByName(many.join(best.hint("merge"), "__row", "left_semi").drop("__row"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates ``value`` once for each row and hands it to ``body``.
 

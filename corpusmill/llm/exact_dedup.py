@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, without
+from corpusmill.llm.common import materialize, one_each
 
 BLANKS = "\t\n\x0b\x0c\r "
 
@@ -91,6 +91,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = exact_dedup(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("doc_id")
-    return without(docs, dropped, id_col)
+    """The documents that stay, one row for each digest, with all their columns; rows may repeat a doc_id."""
+    found = materialize(exact_dedup(docs, id_col=id_col, text_col=text_col), "exact-dedup")
+    keepers = found.select(F.col("text_sha256").alias("group"), F.col("keep_id").alias("__keep")).distinct()
+
+    def grouped(many: DataFrame) -> DataFrame:
+        text = F.col(text_col)
+        own = many.select("__row", F.col(id_col).alias("doc_id"), F.sha2(normalised(text).cast("binary"), 256).alias("group"), (-F.length(F.coalesce(text, F.lit("")))).alias("worse"))
+        return own.join(keepers.hint("merge"), "group").withColumn("kept", F.col("doc_id") == F.col("__keep"))
+
+    return one_each(docs, found, grouped, id_col)
