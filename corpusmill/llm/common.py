@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts its lineage.
 
     The files live in a folder of this application and survive the loss of executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,14 +3,14 @@
 Tokens are counted exactly, with a map-side aggregation. N-grams (orders 1 and 2) are counted too: every block of text
 sends each segment of the hash space one packed list, segments being as many as the corpus needs to keep each small.
 The filter holds quantised counts: an n-gram of level q is entered once for each level from its order's lowest to q, and
-is read back by probing level after level until one misses. Its size follows the corpus up to ``MOST_BITS``; beyond,
-the least count that is entered rises until all entries fit with ``BITS_PER_ENTRY`` each, so its broadcast is bounded.
-Each segment owns a part of the filter and fills it on its own.
+is read back by probing level after level until one misses. Every n-gram that was counted is entered. The filter lies in
+segments, as many as the corpus needs, each with ``BITS_PER_ENTRY`` for its own entries; texts send their distinct
+n-grams to the segments and get levels back, so no machine holds the whole filter.
 
 score is the text's log10 probability under an interpolated bigram model over the filter's counts, whose weight is the
-likeliest on a bounded sample of training texts (each without its own share of the counts). base_score is exact: the
-most frequent tokens are looked up in a broadcast table of at most ``TOP_TOKENS``; the others, rare by construction,
-join the counts by hash.
+likeliest on all training texts (each token without its own share of the counts). base_score is exact: the most frequent
+tokens are looked up in a broadcast table of at most ``TOP_TOKENS``; the others, rare by construction, join the counts
+by hash.
 
 Defined results: null text is empty and has one token, the end; without training rows N and V are 0; rows that repeat a
 doc_id are scored each; an empty table gives an empty result; other columns are ignored.
@@ -35,15 +35,17 @@ END = "\n"
 SEED = 42
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
 TOP_TOKENS = 1 << 18
+#: Of a filter in one piece (``build_filter``).
 MOST_BITS = 1 << 27
 BITS_PER_ENTRY = 12
 PROBES = 6
 #: Counts are quantised by powers of this.
 BASE = 1.5
-SEGMENT_ENTRIES = 1 << 16
-SAMPLE_DOCS = 2000
-#: By order, the least count that is entered: a pair that was seen once says little. It never rises above MOST_LEAST.
-FIRST = {1: 1, 2: 2}
+SEGMENT_ENTRIES = 1 << 18
+#: Bytes of text that ask the segments together.
+CHUNK = 4 << 20
+#: By order, the least count that is entered. Only in ``build_filter`` it can rise, up to MOST_LEAST.
+FIRST = {1: 1, 2: 1}
 MOST_LEAST = 64
 LAMBDAS = np.array([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 
@@ -119,8 +121,12 @@ class LogFrequencyBloom:
 
     def count(self, key: np.ndarray, order: int) -> np.ndarray:
         """The quantised count of each key."""
+        return expected(self.level(key, order))
+
+    def level(self, key: np.ndarray, order: int) -> np.ndarray:
+        """The level of each key, 0 for none."""
         if order not in self.lowest or not len(key):
-            return np.zeros(len(key))
+            return np.zeros(len(key), np.int64)
         level = np.zeros(len(key), np.int64)
         live, q = np.arange(len(key)), self.lowest[order]
         start = (key >> np.uint64(64 - self.segment_bits) if self.segment_bits else np.zeros(len(key), np.uint64)) * np.uint64(self.part)
@@ -131,13 +137,18 @@ class LogFrequencyBloom:
                 live = live[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             level[live] = q
             q += 1
-        return expected(level)
+        return level
+
+
+def short_keys(keys: np.ndarray, segment_bits: int) -> np.ndarray:
+    """The segment, and 32 bits that tell its keys apart."""
+    # the segment is the top bits; of the rest the low 32 bits tell keys of a segment apart
+    return (keys >> np.uint64(64 - segment_bits) << np.uint64(32) if segment_bits else np.uint64(0)) | (keys & np.uint64(0xFFFFFFFF))
 
 
 def packed(keys: np.ndarray, segment_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(segment, low 32 bits of its keys, their counts) for the distinct keys."""
-    # the segment is the top bits; of the rest the low 32 bits tell keys of a segment apart
-    short = (keys >> np.uint64(64 - segment_bits) << np.uint64(32) if segment_bits else np.uint64(0)) | (keys & np.uint64(0xFFFFFFFF))
+    short = short_keys(keys, segment_bits)
     distinct, counts = np.unique(short, return_counts=True)
     segments = (distinct >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(segments)) + 1
@@ -159,8 +170,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
-    """For each segment and order: keys and counts, packed, and how many keys have each count up to MOST_LEAST (the last: the levels of those above, added up)."""
+def sent_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
+    """What each block of text sends to each segment: keys and counts of an order, packed."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text"):
@@ -169,23 +180,32 @@ def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
             rows = [(order, *x) for order, keys in ((1, unigram_keys(h)), (2, bigram_keys(previous(h, bounds), h))) for x in packed(keys, segment_bits)]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part_order", "segment", "keys", "counts"])
 
+    return docs.select("text").mapInArrow(send, "part_order int, segment long, keys binary, counts binary")
+
+
+def summed(sent: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of an order that a segment was sent, and their counts."""
+    own = sent.filter(pc.equal(sent.column("part_order"), order))
+    keys = np.frombuffer(b"".join(own.column("keys").to_pylist()), "<u4")
+    counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u4")
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(where, counts, minlength=len(distinct)).astype(np.int64)
+
+
+def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
+    """For each segment and order: keys and counts, packed, and how many keys have each count up to MOST_LEAST (the last: the levels of those above, added up)."""
+
     def gather(table: pa.Table) -> pa.Table:
         out = {"segment": table.column("segment")[:1]}
-        order = table.column("part_order").to_numpy()
         for o in (1, 2):
-            own = table.filter(pa.array(order == o))
-            keys = np.frombuffer(b"".join(own.column("keys").to_pylist()), "<u4")
-            counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u4")
-            distinct, where = np.unique(keys, return_inverse=True)
-            total = np.bincount(where, counts, minlength=len(distinct)).astype(np.int64)
+            distinct, total = summed(table, o)
             histogram = np.bincount(np.minimum(total, MOST_LEAST), minlength=MOST_LEAST + 1)
             many = int(levels(total[total >= MOST_LEAST]).sum())
             kept = total >= FIRST[o]
             out |= {f"keys{o}": pa.array([distinct[kept].astype("<u4").tobytes()]), f"counts{o}": pa.array([np.minimum(total[kept], 0xFFFFFFFF).astype("<u4").tobytes()]), f"sizes{o}": pa.array([[*histogram.tolist(), many]], pa.list_(pa.int64()))}
         return pa.table(out)
 
-    sent = docs.select("text").mapInArrow(send, "part_order int, segment long, keys binary, counts binary")
-    return sent.groupBy("segment").applyInArrow(gather, "segment long, keys1 binary, counts1 binary, sizes1 array<long>, keys2 binary, counts2 binary, sizes2 array<long>")
+    return sent_ngrams(docs, segment_bits).groupBy("segment").applyInArrow(gather, "segment long, keys1 binary, counts1 binary, sizes1 array<long>, keys2 binary, counts2 binary, sizes2 array<long>")
 
 
 def entries_from(sizes: list[int], least: int) -> int:
@@ -230,20 +250,74 @@ def build_filter(grams: DataFrame, segment_bits: int, most_bits: int = MOST_BITS
     return LogFrequencyBloom(whole, segment_bits, lowest)
 
 
-def probabilities(model: LogFrequencyBloom, bounds: np.ndarray, codes: np.ndarray, h: np.ndarray, total: int, distinct: int, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the unigram's and the bigram's probability; ``leave_out`` is taken off the counts."""
+def segment_filter(sent: pa.Table, bits_per_entry: int) -> LogFrequencyBloom:
+    """The filter of one segment (its rows of ``sent_ngrams``), with room for all its entries."""
+    lowest = {o: int(levels(np.array([t]))[0]) for o, t in FIRST.items()}
+    entries = []
+    for o in FIRST if sent.num_rows else ():
+        short, c = summed(sent, o)
+        entries.append((o, short.astype(np.uint64) + np.uint64(o << 33), levels(c)))
+    n = sum(int((top - lowest[o] + 1).sum()) for o, _, top in entries)
+    out = np.zeros(max(64, -(-n * bits_per_entry // 64) * 64), np.uint8)
+    for o, short, top in entries:
+        for q in range(lowest[o], int(top.max(initial=0)) + 1):
+            for probe in range(PROBES):
+                out[LogFrequencyBloom.spots(short[top >= q], q, len(out), probe)] = 1
+    return LogFrequencyBloom(np.packbits(out, bitorder="little"), 0, lowest)
+
+
+def text_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, dict[int, np.ndarray]]:
+    """``tokens_of`` texts, the hashes of the distinct tokens, and by order the keys: of distinct tokens and of all pairs."""
+    bounds, codes, distinct = tokens_of(texts)
+    h = hashes(distinct)
+    return bounds, codes, distinct, h, {1: unigram_keys(h), 2: bigram_keys(previous(h[codes], bounds), h[codes])}
+
+
+def asked_levels(chunks: DataFrame, sent: DataFrame, segment_bits: int) -> DataFrame:
+    """For each chunk, order and segment the levels of the chunk's distinct keys, in the order of ``short_keys``."""
+    bits_per_entry = BITS_PER_ENTRY
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *_, keys = text_keys(batch.column("texts")[i].values)
+                rows = [(segment, batch.column("chunk")[i].as_py(), o, short) for o, own in keys.items() for segment, short, _ in packed(own, segment_bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["segment", "chunk", "part_order", "keys"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return asked.select(["chunk", "part_order", "segment"]).append_column("levels", pa.array([], pa.binary()))
+        model, order = segment_filter(own, bits_per_entry), asked.column("part_order").to_numpy()
+        keys = [np.frombuffer(k, "<u4").astype(np.uint64) for k in asked.column("keys").to_pylist()]
+        found: list[bytes] = [b""] * len(keys)
+        for o in FIRST:
+            rows = np.flatnonzero(order == o).tolist()
+            if rows:
+                level = model.level(np.concatenate([keys[i] for i in rows]), o).astype(np.uint8)
+                for i, x in zip(rows, np.split(level, np.cumsum([len(keys[i]) for i in rows])[:-1]), strict=True):
+                    found[i] = x.tobytes()
+        return asked.select(["chunk", "part_order", "segment"]).append_column("levels", pa.array(found, pa.binary()))
+
+    asked = chunks.select("chunk", "texts").mapInArrow(ask, "segment long, chunk long, part_order int, keys binary")
+    return asked.groupBy("segment").cogroup(sent.groupBy("segment")).applyInArrow(answer, "chunk long, part_order int, segment long, levels binary")
+
+
+def probabilities(level1: np.ndarray, level2: np.ndarray, bounds: np.ndarray, codes: np.ndarray, total: int, distinct: int, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: the unigram's and the bigram's probability; ``leave_out`` is taken off the counts.
+
+    ``level1`` has the distinct tokens' levels, ``level2`` those of each token's pair with the one before.
+    """
     denominator = total + 0.5 * (distinct + 1)
-    c1 = np.maximum(model.count(unigram_keys(h), 1) - leave_out, 0)
+    c1 = np.maximum(expected(level1) - leave_out, 0)
     one = (c1 + 0.5) / denominator
-    hs = h[codes]
-    c2 = np.maximum(model.count(bigram_keys(previous(hs, bounds), hs), 2) - leave_out, 0)
+    c2 = np.maximum(expected(level2) - leave_out, 0)
     own = np.concatenate(([0], codes[:-1])) if len(codes) else codes
     own[bounds[:-1]] = 0
     before = np.maximum(c1[own], 1.0)
     return one[codes], np.minimum(c2 / np.maximum(before, c2), 1.0)
 
 
-def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, top_tokens: int = TOP_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", top_tokens: int = TOP_TOKENS) -> DataFrame:
     """One row for each document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` is a condition on ``docs`` that tells which rows the counts come from.
@@ -261,66 +335,70 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             break
         least, held = r.c, held + r.n
     segment_bits = max(0, math.ceil(math.log2(max(1, total / SEGMENT_ENTRIES))))
-    segment_bits = min(segment_bits, most_bits.bit_length() - 8)
-    grams = materialize(count_ngrams(learn, segment_bits), "lm-ngrams")
-    model = build_filter(grams, segment_bits, most_bits)
     # at most ``top_tokens`` rows
     top = vocabulary.where(F.col("c") >= least).select(F.xxhash64("token").alias("h"), "c").toArrow()
     top_hash, top_count = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "c"))
     top_hash = top_hash.view(np.uint64)
     by_hash = np.argsort(top_hash)
-    shared = sc.broadcast((model, top_hash[by_hash], top_count[by_hash]))
+    shared = sc.broadcast((top_hash[by_hash], top_count[by_hash]))
     del top
     denominator = total + 0.5 * (distinct + 1)
 
-    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(LAMBDAS))
-        for part in text_chunks(batches, "text"):
-            bounds, codes, tokens = tokens_of(part.column("text"))
-            p1, p2 = probabilities(shared.value[0], bounds, codes, hashes(tokens), total, distinct, 1)
-            sums += [np.log10(x * p2 + (1 - x) * p1).sum() for x in LAMBDAS]
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["s"])
-
-    n_learn = learn.count()
-    bound = int(min(1.0, SAMPLE_DOCS / max(1, n_learn)) * (1 << 20))
-    sample = docs.where(training).where(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 20)) < bound).select(F.col(text_col).alias("text"))
-    got = sample.mapInArrow(likelihoods, "s array<double>").agg(*[F.sum(F.col("s")[i]).alias(str(i)) for i in range(len(LAMBDAS))]).first()
-    weight = float(LAMBDAS[int(np.argmax([x if x is not None else -i for i, x in enumerate(got)]))])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top_hash, top_count = shared.value
-        for part in text_chunks(batches, "text"):
-            bounds, codes, tokens = tokens_of(part.column("text"))
-            h, n = hashes(tokens), part.num_rows
-            doc = np.repeat(np.arange(n), np.diff(bounds))
-            p1, p2 = probabilities(model, bounds, codes, h, total, distinct)
-            points = np.bincount(doc, np.log10(weight * p2 + (1 - weight) * p1), n)
-            at = np.minimum(np.searchsorted(top_hash, h), max(0, len(top_hash) - 1))
-            known = top_hash[at] == h if len(top_hash) else np.zeros(len(h), bool)
-            c = np.where(known, top_count[at], 0) if len(top_hash) else np.zeros(len(h))
-            value = np.where(known, np.log10((c + 0.5) / denominator), 0.0)
-            base, is_known = np.bincount(doc, value[codes], n), np.bincount(doc, known[codes], n)
-            # the others, once for each document
-            others = np.flatnonzero(~known[codes])
-            pairs, times = np.unique(doc[others] * len(tokens) + codes[others], return_counts=True)
-            owner, token = pairs // len(tokens), pairs % len(tokens)
-            rows, ids = part.column("row"), part.column("doc_id")
-            names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "h", "tf"]
-            some, none = np.diff(bounds).astype(np.int64), pa.nulls
-            yield pa.RecordBatch.from_arrays([rows, ids, pa.array(some), pa.array(is_known.astype(np.int64)), pa.array(base), pa.array(points), none(n, pa.int64()), none(n, pa.int64())], names)
-            m = len(pairs)
-            yield pa.RecordBatch.from_arrays([rows.take(pa.array(owner)), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(h[token].view(np.int64)), pa.array(times.astype(np.int64))], names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = materialize(rows.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, h long, tf long"), "lm-scored")
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, "text", CHUNK):
+            whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(c)])) for c in ("row", "doc_id", "text", "learn")]
+            yield pa.RecordBatch.from_arrays([part.column("row")[:1], *whole], ["chunk", "rows", "ids", "texts", "learn"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
+    chunks = materialize(rows.mapInArrow(hold, "chunk long, rows array<long>, ids array<long>, texts array<string>, learn array<boolean>"), "lm-chunks", "zstd")
+    replies = asked_levels(chunks, sent_ngrams(learn, segment_bits), segment_bits)
+
+    def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        top_hash, top_count = shared.value
+        rows, ids, texts, learn = (chunk.column(c).combine_chunks().flatten() for c in ("rows", "ids", "texts", "learn"))
+        bounds, codes, tokens, h, keys = text_keys(texts)
+        n = len(texts)
+        doc = np.repeat(np.arange(n), np.diff(bounds))
+        replies, level = replies.sort_by("segment"), {}
+        for o, own in keys.items():
+            got = np.frombuffer(b"".join(replies.filter(pc.equal(replies.column("part_order"), o)).column("levels").to_pylist()), np.uint8)
+            level[o] = got[np.unique(short_keys(own, segment_bits), return_inverse=True)[1]].astype(np.int64)
+        p1, p2 = probabilities(level[1], level[2], bounds, codes, total, distinct)
+        points = np.stack([np.bincount(doc, np.log10(x * p2 + (1 - x) * p1), n) for x in LAMBDAS], axis=1)
+        learnt = learn.to_numpy(zero_copy_only=False).astype(bool)[doc]
+        p1, p2 = (p[learnt] for p in probabilities(level[1], level[2], bounds, codes, total, distinct, 1))
+        sums = [float(np.log10(x * p2 + (1 - x) * p1).sum()) for x in LAMBDAS]
+        at = np.minimum(np.searchsorted(top_hash, h), max(0, len(top_hash) - 1))
+        known = top_hash[at] == h if len(top_hash) else np.zeros(len(h), bool)
+        c = np.where(known, top_count[at], 0) if len(top_hash) else np.zeros(len(h))
+        value = np.where(known, np.log10((c + 0.5) / denominator), 0.0)
+        base, is_known = np.bincount(doc, value[codes], n), np.bincount(doc, known[codes], n)
+        # the others, once for each document
+        others = np.flatnonzero(~known[codes])
+        pairs, times = np.unique(doc[others] * len(tokens) + codes[others], return_counts=True)
+        owner, token = pairs // len(tokens), pairs % len(tokens)
+        m = len(pairs)
+        # the documents, their tokens beyond the table, and the chunk's sums
+        out = {
+            "row": (rows, rows.take(pa.array(owner)), None), "doc_id": (ids, None, None), "n_tokens": (np.diff(bounds), None, None), "n_known": (is_known.astype(np.int64), None, None), "base": (base, None, None),
+            "h": (None, h[token].view(np.int64), None), "tf": (None, times, None), "points": (list(points), None, None), "sums": (None, None, [sums]),
+        }
+        types = {"base": pa.float64(), "points": pa.list_(pa.float64()), "sums": pa.list_(pa.float64())}
+        column = lambda t, x, size: pa.nulls(size, t) if x is None else pa.array(x, t) if not isinstance(x, pa.Array) else x
+        return pa.table({k: pa.chunked_array([column(types.get(k, pa.int64()), x, size) for x, size in zip(v, (n, m, 1), strict=True)]) for k, v in out.items()})
+
+    scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, h long, tf long, points array<double>, sums array<double>")
+    scored = materialize(scored, "lm-scored")
+    got = scored.where("sums is not null").agg(*[F.sum(F.col("sums")[i]).alias(str(i)) for i in range(len(LAMBDAS))]).first()
+    best = int(np.argmax([x if x is not None else -i for i, x in enumerate(got)]))
     rare = vocabulary.where(F.col("c") < least).select(F.xxhash64("token").alias("h"), "c")
     found = scored.where("h is not null").select("row", "h", "tf").join(rare.hint("merge"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(denominator))).alias("more_base"))
-    return scored.where("h is null").join(more, "row", "left").select(
+    return scored.where("points is not null").join(more, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        F.col("points")[best].alias("score"),
     )
