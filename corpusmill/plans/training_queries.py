@@ -139,16 +139,18 @@ _SPECIAL = {"pad": 0, "bos": 1, "eos": 2, "usr": 3, "bot": 4}
 
 
 def _dialog_ids(spark, sf):
-    """id, ids, loss_from, weight, held of each pair, and the number of ids; characters beyond the 300 most frequent are dropped."""
+    """id, head, ids, loss_from, weight, held of each window of each whole pair, and the pieces; a window begins with the last id of the one before, so each id is foretold once; characters beyond the 300 most frequent are dropped."""
     rows = stored(dialogs.pairs(table(spark, sf, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lower("user").alias("u"), F.lower("bot").alias("b")), "pairs")
     letters = rows.select(F.explode(F.split(F.concat("u", "b"), "")).alias("x")).where("x != ''").groupBy("x").count().orderBy(F.desc("count"), "x").limit(300)
     pieces = [r.x for r in letters.collect()]  # 300 at most
     known = F.create_map(*[F.lit(v) for i, p in enumerate(pieces) for v in (p, i + len(_SPECIAL))]) if pieces else F.expr("map('', 0)")
-    one = lambda c, n: F.slice(F.filter(F.transform(F.split(c, ""), lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()), 1, n)
+    one = lambda c: F.filter(F.transform(F.split(c, ""), lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
     mark = lambda m: F.array(F.lit(_SPECIAL[m]))
-    head = F.concat(mark("bos"), mark("usr"), one("u", WIDTH // 4), mark("bot"))
-    ids = rows.select("id", head.alias("head"), one("b", WIDTH // 2).alias("b"))
-    made = ids.select("id", "head", F.concat("head", "b", mark("eos")).alias("ids"), F.size("head").alias("loss_from"), F.lit(1.0).alias("weight"))
+    head = F.concat(mark("bos"), mark("usr"), one("u"), mark("bot"))
+    ids = rows.select("id", head.alias("head"), one("b").alias("b"))
+    whole = ids.select("id", "head", F.concat("head", "b", mark("eos")).alias("all"))
+    cut = whole.select("id", "head", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 2, F.lit(WIDTH - 1))).alias("at"))
+    made = cut.select("id", "head", "at", F.slice("all", F.col("at") + 1, WIDTH).alias("ids"), F.greatest(F.lit(0), F.size("head") - F.col("at")).alias("loss_from"), F.lit(1.0).alias("weight"))
     held = F.substring(F.md5(F.col("id").cast("string")), 1, 1) < "1"
     return stored(made.withColumn("held", held), "dialog-ids"), pieces
 
@@ -164,14 +166,15 @@ def _trained(spark, sf):
 def decoder_training(spark, sf):
     """Nats a token of each pair before and after two rounds of training; each pair by its own place, a sixteenth held out."""
     rows, _, shape, start, w = _trained(spark, sf)
-    before, after = (transformer.scored(rows, m, shape).select("id", "tokens", F.round("nats", 4).alias(n)) for m, n in ((start, "before"), (w, "after")))
-    return rows.select("id", "held").join(before, "id").join(after.drop("tokens"), "id")
+    mean = F.round(F.sum(F.col("tokens") * F.col("nats")) / F.sum("tokens"), 4)
+    before, after = (transformer.scored(rows, m, shape).groupBy("id").agg(F.sum("tokens").alias("tokens"), mean.alias(n)) for m, n in ((start, "before"), (w, "after")))
+    return rows.where("at = 0").select("id", "held").join(before, "id").join(after.drop("tokens"), "id")
 
 
 @query()
 def decoder_replies(spark, sf):
     """Up to 24 characters in reply to each held-out request."""
     rows, pieces, shape, _, w = _trained(spark, sf)
-    made = transformer.continued(rows.where("held").select("id", F.col("head").alias("ids")), w, shape, new=24, end=_SPECIAL["eos"], copy_bonus=0.5)
+    made = transformer.continued(rows.where("held AND at = 0").select("id", F.col("head").alias("ids")), w, shape, new=24, end=_SPECIAL["eos"], copy_bonus=0.5)
     said = F.array(*map(F.lit, [""] * len(_SPECIAL) + pieces))
     return made.select("id", F.array_join(F.transform("ids", lambda i: F.get(said, i)), "").alias("reply"))
