@@ -1,16 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens are counted exactly, with a map-side aggregation. N-grams (orders 1 and 2) are counted too: every block of text
-sends each segment of the hash space one packed list, segments being as many as the corpus needs to keep each small.
-The filter holds quantised counts: an n-gram of level q is entered once for each level from its order's lowest to q, and
-is read back by probing level after level until one misses. Every n-gram that was counted is entered. The filter lies in
-segments, as many as the corpus needs, each with ``BITS_PER_ENTRY`` for its own entries; texts send their distinct
-n-grams to the segments and get levels back, so no machine holds the whole filter.
-
-score is the text's log10 probability under an interpolated bigram model over the filter's counts, whose weight is the
-likeliest on all training texts (each token without its own share of the counts). base_score is exact: the most frequent
-tokens are looked up in a broadcast table of at most ``TOP_TOKENS``; the others, rare by construction, join the counts
-by hash.
+The filter holds the quantised counts of all training n-grams of orders 1 to 3: an n-gram of level q is entered once for
+each level from 1 to q, and is read back by probing level after level until one misses (or the filter's highest level
+is reached). Every n-gram that was counted is entered. The filter lies in segments of the key space, as many as the
+corpus needs, each sized for its own entries, so no machine holds the whole filter.
+
+Texts are read in chunks. A chunk sends each segment its distinct keys, with how often they stand in its training texts;
+the segment adds the counts up, fills its part of the filter, and answers with the keys' levels by membership probes (and
+with the tokens' exact counts, for the base score). The answers go back to the chunk, where a text becomes a histogram
+of its tokens' combinations of levels. From the histograms of all training texts, each token without its own share of
+the counts, expectation-maximisation fits the interpolation weights (deleted interpolation): one for each level of the
+context, so that contexts seen often are trusted more. The score is the text's log10 probability under that model.
+
+base_score is exact: it uses the exact counts of tokens, told apart by 64-bit hashes.
 
 Defined results: null text is empty and has one token, the end; without training rows N and V are 0; rows that repeat a
 doc_id are scored each; an empty table gives an empty result; other columns are ignored.
@@ -34,20 +36,17 @@ from corpusmill.llm.common import materialize, text_chunks
 END = "\n"
 SEED = 42
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
-TOP_TOKENS = 1 << 18
-#: Of a filter in one piece (``build_filter``).
-MOST_BITS = 1 << 27
 BITS_PER_ENTRY = 12
 PROBES = 6
-#: Counts are quantised by powers of this.
+#: Counts are quantised by powers of this; the highest level is open (counts over 10^10).
 BASE = 1.5
-SEGMENT_ENTRIES = 1 << 18
-#: Bytes of text that ask the segments together.
+LEVELS = 64
+#: Bytes of text for each segment of the key space, and that ask the segments together.
+SEGMENT_BYTES = 4 << 20
 CHUNK = 4 << 20
-#: By order, the least count that is entered. Only in ``build_filter`` it can rise, up to MOST_LEAST.
-FIRST = {1: 1, 2: 1}
-MOST_LEAST = 64
-LAMBDAS = np.array([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
+#: Steps of a power of ten in which the lower order's probability is told apart when weights are fitted.
+STEPS = 8
+ROUNDS = 40
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,16 +86,21 @@ def bigram_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(mix(before) + h)
 
 
-def previous(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The hash of the token before each one; a text's first follows an end."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[bounds[:-1]] = END_HASH
+def trigram_keys(bigrams: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of the keys of the two tokens before, and the token."""
+    return mix(mix(bigrams ^ np.uint64(0xC2B2AE3D27D4EB4F)) + h)
+
+
+def previous(values: np.ndarray, bounds: np.ndarray, first: np.uint64 | int) -> np.ndarray:
+    """The value of the token before each one; a text's first token has ``first``."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[bounds[:-1]] = first
     return out
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+    return np.minimum(LEVELS - 1, 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9)).astype(np.int64)
 
 
 def expected(level: np.ndarray) -> np.ndarray:
@@ -106,299 +110,293 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-class LogFrequencyBloom:
-    """The filter's bits, cut into equal parts of segments, with the lowest level of each order."""
+COUNT = expected(np.arange(LEVELS))
 
-    def __init__(self, bits: np.ndarray, segment_bits: int, lowest: dict[int, int]):
-        self.bits, self.segment_bits, self.lowest = bits, segment_bits, lowest
-        self.part = len(bits) * 8 >> segment_bits
+
+class LogFrequencyBloom:
+    """A segment's bits, with room for the entries of (keys, levels) by order, and the highest level entered."""
+
+    def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]], bits_per_entry: int = BITS_PER_ENTRY):
+        n = sum(int(top.sum()) for _, top in entries.values())
+        flags = np.zeros(max(64, -(-n * bits_per_entry // 64) * 64), np.uint8)
+        self.part, self.highest = len(flags), {o: int(top.max(initial=0)) for o, (_, top) in entries.items()}
+        for o, (keys, top) in entries.items():
+            for q in range(1, self.highest[o] + 1):
+                keys, top = (keys, top) if q == 1 else (keys[top >= q], top[top >= q])
+                step = self.step(keys, o, q)
+                for probe in range(PROBES):
+                    flags[self.spot(step, probe)] = 1
+        self.bits = np.packbits(flags, bitorder="little")
 
     @staticmethod
-    def spots(key: np.ndarray, level: int, part: int, probe: int) -> np.ndarray:
-        """Where in its segment's part a key's entry of a level sets its bit."""
-        step = mix(key + np.uint64(0xD1B54A32D192ED03 * level % (1 << 64)))
-        return ((step & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((step >> np.uint64(32)) | np.uint64(1))) % np.uint64(part)
-
-    def count(self, key: np.ndarray, order: int) -> np.ndarray:
-        """The quantised count of each key."""
-        return expected(self.level(key, order))
-
-    def level(self, key: np.ndarray, order: int) -> np.ndarray:
-        """The level of each key, 0 for none."""
-        if order not in self.lowest or not len(key):
-            return np.zeros(len(key), np.int64)
-        level = np.zeros(len(key), np.int64)
-        live, q = np.arange(len(key)), self.lowest[order]
-        start = (key >> np.uint64(64 - self.segment_bits) if self.segment_bits else np.zeros(len(key), np.uint64)) * np.uint64(self.part)
-        short = key & np.uint64(0xFFFFFFFF)
-        while len(live):
+    def step(keys: np.ndarray, order: int, level: int) -> np.ndarray:
+        """What an entry's probes are made of."""
+        return mix(keys + np.uint64((0xD1B54A32D192ED03 * level + (order << 33)) % (1 << 64)))
+
+    def spot(self, step: np.ndarray, probe: int) -> np.ndarray:
+        return (((step & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((step >> np.uint64(32)) | np.uint64(1))) % np.uint64(self.part)).astype(np.int64)
+
+    def level(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """The level of each key, 0 for none: never under the entered one, seldom over it."""
+        out = np.zeros(len(keys), np.uint8)
+        live = np.arange(len(keys))
+        for q in range(1, self.highest.get(order, 0) + 1):
+            step = self.step(keys[live], order, q)
             for probe in range(PROBES):
-                at = start[live] + self.spots(short[live] + np.uint64(order << 33), q, self.part, probe)
-                live = live[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            level[live] = q
-            q += 1
-        return level
+                at = self.spot(step, probe)
+                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                live, step = live[hit], step[hit]
+            if not len(live):
+                break
+            out[live] = q
+        return out
 
 
-def short_keys(keys: np.ndarray, segment_bits: int) -> np.ndarray:
-    """The segment, and 32 bits that tell its keys apart."""
-    # the segment is the top bits; of the rest the low 32 bits tell keys of a segment apart
-    return (keys >> np.uint64(64 - segment_bits) << np.uint64(32) if segment_bits else np.uint64(0)) | (keys & np.uint64(0xFFFFFFFF))
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers byte by byte: all first bytes, then all second ones, so that the high ones, mostly zero, compress well."""
+    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def packed(keys: np.ndarray, segment_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(segment, low 32 bits of its keys, their counts) for the distinct keys."""
-    short = short_keys(keys, segment_bits)
-    distinct, counts = np.unique(short, return_counts=True)
-    segments = (distinct >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(segments)) + 1
-    for k, c in zip(np.split(distinct, cuts), np.split(counts, cuts), strict=True):
-        if len(k):
-            yield int(k[0] >> np.uint64(32)), k.astype("<u4").tobytes(), c.astype("<u4").tobytes()
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """token and c over all texts."""
+def sorted_planes(keys: np.ndarray, width: int) -> bytes:
+    """Of rising numbers: the steps between them."""
+    return planes(np.diff(keys.astype(f"<u{width}"), prepend=np.zeros(1, f"<u{width}")), width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, "text"):
-            _, codes, distinct = tokens_of(part.column("text"))
-            n = np.bincount(codes, minlength=len(distinct))
-            keep = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([distinct[i] for i in keep.tolist()], pa.string()), pa.array(n[keep].astype(np.int64))], ["token", "c"])
 
-    return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def from_sorted_planes(data: bytes, width: int) -> np.ndarray:
+    return np.cumsum(from_planes(data, width), dtype=f"<u{width}")
 
 
-def sent_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
-    """What each block of text sends to each segment: keys and counts of an order, packed."""
+#: Bytes by which a segment tells its keys apart: all of a token's hash, since its count must be exact, half of other keys.
+WIDTH = {1: 8, 2: 4, 3: 4}
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, "text"):
-            bounds, codes, distinct = tokens_of(part.column("text"))
-            h = hashes(distinct)[codes]
-            rows = [(order, *x) for order, keys in ((1, unigram_keys(h)), (2, bigram_keys(previous(h, bounds), h))) for x in packed(keys, segment_bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part_order", "segment", "keys", "counts"])
 
-    return docs.select("text").mapInArrow(send, "part_order int, segment long, keys binary, counts binary")
+def short_keys(keys: np.ndarray, order: int, segment_bits: int) -> np.ndarray:
+    """Keys in the order of their segments, as the chunk and the segment sort them."""
+    if WIDTH[order] == 8 or not segment_bits:
+        return keys if WIDTH[order] == 8 else keys & np.uint64(0xFFFFFFFF)
+    return (keys >> np.uint64(64 - segment_bits) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def summed(sent: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of an order that a segment was sent, and their counts."""
-    own = sent.filter(pc.equal(sent.column("part_order"), order))
-    keys = np.frombuffer(b"".join(own.column("keys").to_pylist()), "<u4")
-    counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u4")
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, counts, minlength=len(distinct)).astype(np.int64)
+def segments_of(short: np.ndarray, order: int, segment_bits: int) -> np.ndarray:
+    if not segment_bits:
+        return np.zeros(len(short), np.int64)
+    return (short >> np.uint64(64 - segment_bits if WIDTH[order] == 8 else 32)).astype(np.int64)
 
 
-def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
-    """For each segment and order: keys and counts, packed, and how many keys have each count up to MOST_LEAST (the last: the levels of those above, added up)."""
+def chunk_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """``tokens_of`` texts, with the keys by order and the token that each key ends at.
 
-    def gather(table: pa.Table) -> pa.Table:
-        out = {"segment": table.column("segment")[:1]}
-        for o in (1, 2):
-            distinct, total = summed(table, o)
-            histogram = np.bincount(np.minimum(total, MOST_LEAST), minlength=MOST_LEAST + 1)
-            many = int(levels(total[total >= MOST_LEAST]).sum())
-            kept = total >= FIRST[o]
-            out |= {f"keys{o}": pa.array([distinct[kept].astype("<u4").tobytes()]), f"counts{o}": pa.array([np.minimum(total[kept], 0xFFFFFFFF).astype("<u4").tobytes()]), f"sizes{o}": pa.array([[*histogram.tolist(), many]], pa.list_(pa.int64()))}
+    Keys of order 1 are those of the distinct tokens; a text's first token has a pair with the end, but no triple.
+    """
+    bounds, codes, distinct = tokens_of(texts)
+    h = hashes(distinct)
+    own = h[codes]
+    pairs = bigram_keys(previous(own, bounds, END_HASH), own)
+    inner = np.ones(len(codes), bool)
+    inner[bounds[:-1]] = False
+    at = np.flatnonzero(inner)
+    return bounds, codes, distinct, {1: unigram_keys(h), 2: pairs, 3: trigram_keys(pairs[at - 1], own[at])}, {1: codes, 2: np.arange(len(codes)), 3: at}
+
+
+def ask(chunks: DataFrame, segment_bits: int) -> DataFrame:
+    """What each chunk sends to each segment: distinct keys of each order, and how often they stand in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bounds, codes, _, keys, where = chunk_keys(batch.column("texts")[i].values)
+                learn = np.repeat(batch.column("learn")[i].values.to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+                rows: dict[int, list] = {}
+                for o, own in keys.items():
+                    short = short_keys(own, o, segment_bits)
+                    short, back = np.unique(short, return_inverse=True)
+                    # of order 1 the keys are those of distinct tokens, of the others those of places
+                    counts = (np.bincount(back[codes], learn, len(short)) if o == 1 else np.bincount(back, learn[where[o]], len(short))).astype(np.int64)
+                    segments = segments_of(short, o, segment_bits)
+                    cuts = np.flatnonzero(np.diff(segments)) + 1
+                    for k, c, first in zip(np.split(short, cuts), np.split(counts, cuts), segments[np.concatenate(([0], cuts))].tolist() if len(segments) else [], strict=False):
+                        row = rows.setdefault(first, [b""] * 6)
+                        row[2 * o - 2], row[2 * o - 1] = sorted_planes(k, WIDTH[o]), planes(c, 4)
+                columns = list(zip(*rows.values(), strict=True))
+                names = [f"{x}{o}" for o in WIDTH for x in ("keys", "counts")]
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([batch.column("chunk")[i].as_py()] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["segment", "chunk", *names])
+
+    return chunks.select("chunk", "texts", "learn").mapInArrow(run, "segment long, chunk long, " + ", ".join(f"keys{o} binary, counts{o} binary" for o in WIDTH))
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """For each chunk and segment the levels of the keys and the tokens' counts; rows without a chunk have a segment's total and distinct tokens."""
+    bits_per_entry = BITS_PER_ENTRY
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        found, entries, summed = {}, {}, {}
+        for o, width in WIDTH.items():
+            keys = [from_sorted_planes(x, width) for x in table.column(f"keys{o}").to_pylist()]
+            counts = np.concatenate([from_planes(x, 4) for x in table.column(f"counts{o}").to_pylist()])
+            sizes = [len(k) for k in keys]
+            distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(back, counts, len(distinct)).astype(np.int64)
+            seen = total > 0
+            entries[o] = (distinct[seen].astype(np.uint64), levels(total[seen]))
+            summed[o] = (distinct.astype(np.uint64), back, np.cumsum(sizes)[:-1], total)
+        model = LogFrequencyBloom(entries, bits_per_entry)
+        for o, (distinct, back, cuts, total) in summed.items():
+            found[f"levels{o}"] = [x.tobytes() for x in np.split(model.level(distinct, o)[back], cuts)]
+            if o == 1:
+                found["exact"] = [planes(np.minimum(x, 0xFFFFFFFF), 4) for x in np.split(total[back], cuts)]
+                stats = int(total.sum()), int((total > 0).sum())
+        nothing = [None]
+        out = {"chunk": pa.array(table.column("chunk").to_pylist() + nothing, pa.int64()), "segment": pa.array(table.column("segment").to_pylist() + nothing, pa.int64())}
+        out |= {c: pa.array(found[c] + nothing, pa.binary()) for c in ("exact", "levels1", "levels2", "levels3")}
+        out |= {c: pa.array([None] * n + [x], pa.int64()) for c, x in zip(("total", "tokens"), stats, strict=True)}
         return pa.table(out)
 
-    return sent_ngrams(docs, segment_bits).groupBy("segment").applyInArrow(gather, "segment long, keys1 binary, counts1 binary, sizes1 array<long>, keys2 binary, counts2 binary, sizes2 array<long>")
+    return asked.groupBy("segment").applyInArrow(run, "chunk long, segment long, exact binary, levels1 binary, levels2 binary, levels3 binary, total long, tokens long")
 
 
-def entries_from(sizes: list[int], least: int) -> int:
-    """How many entries the filter gets from n-grams of at least so many occurrences; sizes as ``count_ngrams`` has them."""
-    level = levels(np.arange(MOST_LEAST + 1))
-    few = sum(sizes[c] * int(level[c] - level[least] + 1) for c in range(least, MOST_LEAST))
-    return few + sizes[-1] - sizes[MOST_LEAST] * int(level[least] - 1)
+def packed_levels(level1: np.ndarray, context2: np.ndarray, level2: np.ndarray, context3: np.ndarray, level3: np.ndarray) -> np.ndarray:
+    """The combination of levels of a token: of itself, of the token before, of their pair, of the pair before, of the triple."""
+    out = level1.astype(np.int64)
+    for x in (context2, level2, context3, level3):
+        out = out << 6 | x
+    return out
 
 
-def build_filter(grams: DataFrame, segment_bits: int, most_bits: int = MOST_BITS) -> LogFrequencyBloom:
-    """Chooses the lowest counts, lets each segment fill its part, and joins the parts: at most ``most_bits``."""
-    sums = grams.agg(*[F.coalesce(F.sum(F.col(f"sizes{o}")[i]), F.lit(0)).alias(f"{o}_{i}") for o in (1, 2) for i in range(MOST_LEAST + 2)]).first()
-    least, entries, room = {}, 0, most_bits // BITS_PER_ENTRY
-    for o, share in ((1, room // 2), (2, room)):
-        sizes = [sums[f"{o}_{i}"] for i in range(MOST_LEAST + 2)]
-        least[o] = next((t for t in range(FIRST[o], MOST_LEAST + 1) if entries + entries_from(sizes, t) <= share), MOST_LEAST)
-        entries += entries_from(sizes, least[o])
-    bits = 1 << max(segment_bits + 3, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
-    bits = max(min(bits, most_bits), 1 << segment_bits + 3)
-    part = bits >> segment_bits
-    lowest = {o: int(levels(np.array([t]))[0]) for o, t in least.items()}
+def histograms(chunk: pa.Table, replies: pa.Table, segment_bits: int) -> pa.Table:
+    """For each text of a chunk: tokens, the known ones, the sum of log10(2 c + 1), and its combinations of levels with their numbers."""
+    rows, ids, texts, learn = (chunk.column(c).combine_chunks().flatten() for c in ("rows", "ids", "texts", "learn"))
+    bounds, codes, _, keys, where = chunk_keys(texts)
+    replies, level, n = replies.sort_by("segment"), {}, len(texts)
+    for o, own in keys.items():
+        got = np.frombuffer(b"".join(replies.column(f"levels{o}").to_pylist()), np.uint8)
+        back = np.unique(short_keys(own, o, segment_bits), return_inverse=True)[1]
+        level[o] = got[back]
+        if o == 1:
+            exact = np.concatenate([from_planes(x, 4) for x in replies.column("exact").to_pylist()])[back]
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    level1 = level[1][codes]
+    # a text's first token follows an end
+    context2 = previous(level1, bounds, level[1][0])
+    context3, level3 = np.zeros(len(codes), np.uint8), np.zeros(len(codes), np.uint8)
+    context3[where[3]], level3[where[3]] = level[2][where[3] - 1], level[3]
+    combos, back = np.unique(packed_levels(level1, context2, level[2], context3, level3), return_inverse=True)
+    pairs, times = np.unique(doc * len(combos) + back, return_counts=True)
+    cuts = np.searchsorted(pairs // len(combos), np.arange(n + 1))
+    own = combos[pairs % len(combos)]
+    lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (own, times)]
+    known = np.bincount(doc, (exact > 0)[codes], n).astype(np.int64)
+    logs = np.bincount(doc, np.log10(2.0 * exact + 1)[codes], n)
+    return pa.table({"row": rows, "doc_id": ids, "learn": learn, "n_tokens": pa.array(np.diff(bounds), pa.int64()), "n_known": pa.array(known), "logs": pa.array(logs), "combos": lists[0], "times": lists[1]})
+
+
+def levels_in(combos: np.ndarray) -> list[np.ndarray]:
+    combos = combos.astype(np.int64)
+    return [combos >> s & 63 for s in (24, 18, 12, 6, 0)]
+
+
+def share(level: np.ndarray, context: np.ndarray, leave_out: int = 0) -> np.ndarray:
+    """The n-gram's share of its context's count; 0 where the context has none."""
+    own, of = np.maximum(COUNT[level] - leave_out, 0), np.maximum(COUNT[context] - leave_out, 0)
+    return np.where(of > 0, np.minimum(own / np.maximum(of, 1e-9), 1.0), 0.0)
+
+
+def fit_weights(context: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each level of the context the weight of the higher order's probability: expectation-maximisation.
+
+    Contexts with next to no evidence keep the weight of about one observation for the lower order.
+    """
+    weights = np.full(LEVELS, 0.5)
+    size = np.bincount(context, n, LEVELS)
+    for _ in range(ROUNDS):
+        w = weights[context]
+        part = w * high / (w * high + (1 - w) * low)
+        weights = np.bincount(context, n * part, LEVELS) / (size + 1.0)
+    weights[0] = 0.0
+    return weights
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            filled = []
-            for i in range(batch.num_rows):
-                out = np.zeros(part, np.uint8)
-                for o in (1, 2):
-                    short, c = (np.frombuffer(batch.column(f"{x}{o}")[i].as_py(), "<u4") for x in ("keys", "counts"))
-                    short, top = short[c >= least[o]].astype(np.uint64) + np.uint64(o << 33), levels(c[c >= least[o]])
-                    for q in range(lowest[o], int(top.max(initial=0)) + 1):
-                        for probe in range(PROBES):
-                            out[LogFrequencyBloom.spots(short[top >= q], q, part, probe)] = 1
-                filled.append(np.packbits(out, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(filled, pa.binary())], ["segment", "bits"])
-
-    whole = np.zeros(bits // 8, np.uint8)
-    # at most ``most_bits`` in all
-    filled = grams.select("segment", "keys1", "counts1", "keys2", "counts2").mapInArrow(fill, "segment long, bits binary").toArrow()
-    for segment, own in zip(filled.column("segment").to_pylist(), filled.column("bits"), strict=True):
-        whole[segment * (part // 8) : (segment + 1) * (part // 8)] = np.frombuffer(own.as_buffer(), np.uint8)
-    return LogFrequencyBloom(whole, segment_bits, lowest)
-
-
-def segment_filter(sent: pa.Table, bits_per_entry: int) -> LogFrequencyBloom:
-    """The filter of one segment (its rows of ``sent_ngrams``), with room for all its entries."""
-    lowest = {o: int(levels(np.array([t]))[0]) for o, t in FIRST.items()}
-    entries = []
-    for o in FIRST if sent.num_rows else ():
-        short, c = summed(sent, o)
-        entries.append((o, short.astype(np.uint64) + np.uint64(o << 33), levels(c)))
-    n = sum(int((top - lowest[o] + 1).sum()) for o, _, top in entries)
-    out = np.zeros(max(64, -(-n * bits_per_entry // 64) * 64), np.uint8)
-    for o, short, top in entries:
-        for q in range(lowest[o], int(top.max(initial=0)) + 1):
-            for probe in range(PROBES):
-                out[LogFrequencyBloom.spots(short[top >= q], q, len(out), probe)] = 1
-    return LogFrequencyBloom(np.packbits(out, bitorder="little"), 0, lowest)
 
+def unigrams(level: np.ndarray, denominator: float, leave_out: int = 0) -> np.ndarray:
+    return (np.maximum(COUNT[level] - leave_out, 0) + 0.5) / denominator
 
-def text_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, dict[int, np.ndarray]]:
-    """``tokens_of`` texts, the hashes of the distinct tokens, and by order the keys: of distinct tokens and of all pairs."""
-    bounds, codes, distinct = tokens_of(texts)
-    h = hashes(distinct)
-    return bounds, codes, distinct, h, {1: unigram_keys(h), 2: bigram_keys(previous(h[codes], bounds), h[codes])}
 
+def fit(scored: DataFrame, denominator: float) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of pairs and of triples, from all training texts, each token without its own share of the counts.
 
-def asked_levels(chunks: DataFrame, sent: DataFrame, segment_bits: int) -> DataFrame:
-    """For each chunk, order and segment the levels of the chunk's distinct keys, in the order of ``short_keys``."""
-    bits_per_entry = BITS_PER_ENTRY
+    What reaches the driver is bounded by the number of levels: 64^3 sums for pairs; for triples 64^2 times the steps
+    of the lower order's probability.
+    """
+    each = scored.where("learn").select(F.explode(F.arrays_zip("combos", "times")).alias("x")).groupBy(F.col("x.combos").alias("combo")).agg(F.sum("x.times").alias("n"))
+    each = materialize(each, "lm-combinations")
+
+    def collected(key: Column) -> tuple[np.ndarray, np.ndarray]:
+        got = each.groupBy(key.alias("k")).agg(F.sum("n").alias("n")).orderBy("k").toPandas()
+        return got["k"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(float)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, n = collected(F.shiftright("combo", 12))
+    level1, context, level2 = key >> 12 & 63, key >> 6 & 63, key & 63
+    pairs = fit_weights(context, share(level2, context, 1), unigrams(level1, denominator, 1), n)
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                *_, keys = text_keys(batch.column("texts")[i].values)
-                rows = [(segment, batch.column("chunk")[i].as_py(), o, short) for o, own in keys.items() for segment, short, _ in packed(own, segment_bits)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["segment", "chunk", "part_order", "keys"])
-
-    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return asked.select(["chunk", "part_order", "segment"]).append_column("levels", pa.array([], pa.binary()))
-        model, order = segment_filter(own, bits_per_entry), asked.column("part_order").to_numpy()
-        keys = [np.frombuffer(k, "<u4").astype(np.uint64) for k in asked.column("keys").to_pylist()]
-        found: list[bytes] = [b""] * len(keys)
-        for o in FIRST:
-            rows = np.flatnonzero(order == o).tolist()
-            if rows:
-                level = model.level(np.concatenate([keys[i] for i in rows]), o).astype(np.uint8)
-                for i, x in zip(rows, np.split(level, np.cumsum([len(keys[i]) for i in rows])[:-1]), strict=True):
-                    found[i] = x.tobytes()
-        return asked.select(["chunk", "part_order", "segment"]).append_column("levels", pa.array(found, pa.binary()))
-
-    asked = chunks.select("chunk", "texts").mapInArrow(ask, "segment long, chunk long, part_order int, keys binary")
-    return asked.groupBy("segment").cogroup(sent.groupBy("segment")).applyInArrow(answer, "chunk long, part_order int, segment long, levels binary")
-
-
-def probabilities(level1: np.ndarray, level2: np.ndarray, bounds: np.ndarray, codes: np.ndarray, total: int, distinct: int, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the unigram's and the bigram's probability; ``leave_out`` is taken off the counts.
-
-    ``level1`` has the distinct tokens' levels, ``level2`` those of each token's pair with the one before.
-    """
-    denominator = total + 0.5 * (distinct + 1)
-    c1 = np.maximum(expected(level1) - leave_out, 0)
-    one = (c1 + 0.5) / denominator
-    c2 = np.maximum(expected(level2) - leave_out, 0)
-    own = np.concatenate(([0], codes[:-1])) if len(codes) else codes
-    own[bounds[:-1]] = 0
-    before = np.maximum(c1[own], 1.0)
-    return one[codes], np.minimum(c2 / np.maximum(before, c2), 1.0)
+            l1, c2, l2, c3, l3 = levels_in(batch.column("combo").to_numpy(zero_copy_only=False))
+            q = pairs[c2] * share(l2, c2, 1) + (1 - pairs[c2]) * unigrams(l1, denominator, 1)
+            step = np.clip(np.round(-np.log10(q) * STEPS), 0, 1023).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(step << 12 | c3 << 6 | l3), batch.column("n")], ["combo", "n"])
+
+    each = materialize(each.mapInArrow(lower, "combo long, n long"), "lm-triples")
+    key, n = collected(F.col("combo"))
+    context, level3, low = key >> 6 & 63, key & 63, 10.0 ** (-(key >> 12) / STEPS)
+    return pairs, fit_weights(context, share(level3, context, 1), low, n)
+
+
+def log_probability(combos: np.ndarray, pairs: np.ndarray, triples: np.ndarray, denominator: float) -> np.ndarray:
+    """log10 probability of a token with these levels."""
+    l1, c2, l2, c3, l3 = levels_in(combos)
+    low = pairs[c2] * share(l2, c2) + (1 - pairs[c2]) * unigrams(l1, denominator)
+    return np.log10(triples[c3] * share(l3, c3) + (1 - triples[c3]) * low)
 
 
-def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", top_tokens: int = TOP_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` is a condition on ``docs`` that tells which rows the counts come from.
     """
-    sc = docs.sparkSession.sparkContext
-    learn = docs.where(training).select(F.col(text_col).alias("text"))
-    vocabulary = materialize(count_tokens(learn), "lm-tokens")
-    by_count = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    # the distinct counts are few, but their number is not bounded: those over a million are merged
-    sizes = by_count.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.sum("n").alias("n"), F.sum(F.col("c") * F.col("n")).alias("t")).collect()
-    total, distinct = sum(r.t for r in sizes), sum(r.n for r in sizes)
-    least, held = 1 << 62, 0
-    for r in sorted(sizes, key=lambda r: -r.c):
-        if held + r.n > top_tokens:
-            break
-        least, held = r.c, held + r.n
-    segment_bits = max(0, math.ceil(math.log2(max(1, total / SEGMENT_ENTRIES))))
-    # at most ``top_tokens`` rows
-    top = vocabulary.where(F.col("c") >= least).select(F.xxhash64("token").alias("h"), "c").toArrow()
-    top_hash, top_count = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "c"))
-    top_hash = top_hash.view(np.uint64)
-    by_hash = np.argsort(top_hash)
-    shared = sc.broadcast((top_hash[by_hash], top_count[by_hash]))
-    del top
-    denominator = total + 0.5 * (distinct + 1)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text", CHUNK):
             whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(c)])) for c in ("row", "doc_id", "text", "learn")]
-            yield pa.RecordBatch.from_arrays([part.column("row")[:1], *whole], ["chunk", "rows", "ids", "texts", "learn"])
+            size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([part.column("row")[:1], *whole, pa.array([size], pa.int64())], ["chunk", "rows", "ids", "texts", "learn", "size"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    chunks = materialize(rows.mapInArrow(hold, "chunk long, rows array<long>, ids array<long>, texts array<string>, learn array<boolean>"), "lm-chunks", "zstd")
-    replies = asked_levels(chunks, sent_ngrams(learn, segment_bits), segment_bits)
-
-    def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        top_hash, top_count = shared.value
-        rows, ids, texts, learn = (chunk.column(c).combine_chunks().flatten() for c in ("rows", "ids", "texts", "learn"))
-        bounds, codes, tokens, h, keys = text_keys(texts)
-        n = len(texts)
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        replies, level = replies.sort_by("segment"), {}
-        for o, own in keys.items():
-            got = np.frombuffer(b"".join(replies.filter(pc.equal(replies.column("part_order"), o)).column("levels").to_pylist()), np.uint8)
-            level[o] = got[np.unique(short_keys(own, segment_bits), return_inverse=True)[1]].astype(np.int64)
-        p1, p2 = probabilities(level[1], level[2], bounds, codes, total, distinct)
-        points = np.stack([np.bincount(doc, np.log10(x * p2 + (1 - x) * p1), n) for x in LAMBDAS], axis=1)
-        learnt = learn.to_numpy(zero_copy_only=False).astype(bool)[doc]
-        p1, p2 = (p[learnt] for p in probabilities(level[1], level[2], bounds, codes, total, distinct, 1))
-        sums = [float(np.log10(x * p2 + (1 - x) * p1).sum()) for x in LAMBDAS]
-        at = np.minimum(np.searchsorted(top_hash, h), max(0, len(top_hash) - 1))
-        known = top_hash[at] == h if len(top_hash) else np.zeros(len(h), bool)
-        c = np.where(known, top_count[at], 0) if len(top_hash) else np.zeros(len(h))
-        value = np.where(known, np.log10((c + 0.5) / denominator), 0.0)
-        base, is_known = np.bincount(doc, value[codes], n), np.bincount(doc, known[codes], n)
-        # the others, once for each document
-        others = np.flatnonzero(~known[codes])
-        pairs, times = np.unique(doc[others] * len(tokens) + codes[others], return_counts=True)
-        owner, token = pairs // len(tokens), pairs % len(tokens)
-        m = len(pairs)
-        # the documents, their tokens beyond the table, and the chunk's sums
-        out = {
-            "row": (rows, rows.take(pa.array(owner)), None), "doc_id": (ids, None, None), "n_tokens": (np.diff(bounds), None, None), "n_known": (is_known.astype(np.int64), None, None), "base": (base, None, None),
-            "h": (None, h[token].view(np.int64), None), "tf": (None, times, None), "points": (list(points), None, None), "sums": (None, None, [sums]),
-        }
-        types = {"base": pa.float64(), "points": pa.list_(pa.float64()), "sums": pa.list_(pa.float64())}
-        column = lambda t, x, size: pa.nulls(size, t) if x is None else pa.array(x, t) if not isinstance(x, pa.Array) else x
-        return pa.table({k: pa.chunked_array([column(types.get(k, pa.int64()), x, size) for x, size in zip(v, (n, m, 1), strict=True)]) for k, v in out.items()})
-
-    scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, h long, tf long, points array<double>, sums array<double>")
-    scored = materialize(scored, "lm-scored")
-    got = scored.where("sums is not null").agg(*[F.sum(F.col("sums")[i]).alias(str(i)) for i in range(len(LAMBDAS))]).first()
-    best = int(np.argmax([x if x is not None else -i for i, x in enumerate(got)]))
-    rare = vocabulary.where(F.col("c") < least).select(F.xxhash64("token").alias("h"), "c")
-    found = scored.where("h is not null").select("row", "h", "tf").join(rare.hint("merge"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(denominator))).alias("more_base"))
-    return scored.where("points is not null").join(more, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        F.col("points")[best].alias("score"),
-    )
+    chunks = materialize(rows.mapInArrow(hold, "chunk long, rows array<long>, ids array<long>, texts array<string>, learn array<boolean>, size long"), "lm-chunks", "zstd")
+    size, n = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    segment_bits = max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
+    # partitions grow with the corpus, so a task's share does not
+    by_segment, by_chunk = max(1, (1 << segment_bits) // 2), max(1, n // 2)
+    replies = materialize(answer(ask(chunks, segment_bits).repartition(by_segment, "segment")), "lm-replies")
+    stats = replies.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    total, distinct = int(stats[0]), int(stats[1])
+    denominator = total + 0.5 * (distinct + 1)
+
+    own = chunks.drop("size").repartition(by_chunk, "chunk").groupBy("chunk")
+    theirs = replies.where("chunk is not null").drop("total", "tokens").repartition(by_chunk, "chunk").groupBy("chunk")
+    scored = own.cogroup(theirs).applyInArrow(lambda a, b: histograms(a, b, segment_bits), "row long, doc_id long, learn boolean, n_tokens long, n_known long, logs double, combos array<int>, times array<int>")
+    scored = materialize(scored, "lm-scored", "zstd")
+    pairs, triples = fit(scored, denominator) if total else (np.zeros(LEVELS), np.zeros(LEVELS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            combos, times = batch.column("combos"), batch.column("times")
+            logs = log_probability(combos.values.to_numpy(), pairs, triples, denominator) * times.values.to_numpy()
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            at = combos.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")), pa.array(sums[at[1:]] - sums[at[:-1]])], ["doc_id", "n_tokens", "n_known", "logs", "score"])
+
+    made = scored.select("doc_id", "n_tokens", "n_known", "logs", "combos", "times").mapInArrow(score, "doc_id long, n_tokens long, n_known long, logs double, score double")
+    return made.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(math.log10(2 * denominator))).alias("base_score"), "score")

@@ -44,37 +44,45 @@ def test_lm_query_base_against_brute_force(spark, sf):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-@pytest.mark.parametrize("top", [1 << 20, 3, 0])
-def test_lm_odd_rows(make, top):
-    """Also with most tokens beyond the broadcast table."""
+@pytest.mark.parametrize("size", [4 << 20, 3000])
+def test_lm_odd_rows(make, monkeypatch, size):
+    """Also with many segments."""
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", size)
     docs = list({i: (i, t) for i, t in [*ODD, *((50 + i, f"The a{i % 5} b{i}\u00a0c É {'the ' * i}") for i in range(40))]}.values())
     df = make(docs)
-    got = lm_score.lm_scores(df, df["doc_id"] % 5 != 1, top_tokens=top).collect()
+    got = lm_score.lm_scores(df, df["doc_id"] % 5 != 1).collect()
     close(columns(got), brute_base(docs, lambda i: i % 5 == 1))
     none = lm_score.lm_scores(df, df["doc_id"] < 0).collect()
     assert {(r.train_tokens, r.n_known, r.base_score) for r in none} == {(0, 0, 0.0)}
     assert lm_score.lm_scores(df.limit(0), df["doc_id"] > 0).collect() == []
 
 
-def test_filter_counts(spark):
+def test_filter_levels():
     """All counts are read back within their level, but for few false positives, and unknown keys are seldom found."""
     rng = np.random.default_rng(5)
-    text = " ".join(f"t{int(x)}" for x in rng.zipf(1.3, 30_000) if x < 3000)
-    df = spark.createDataFrame([(text,)], "text string")
-    for segment_bits in (0, 3):
-        model = lm_score.build_filter(lm_score.count_ngrams(df, segment_bits), segment_bits)
-        c = Counter(text.split())
-        names = list(c)
-        got = model.count(lm_score.unigram_keys(lm_score.hashes(names)), 1)
-        want = lm_score.expected(lm_score.levels(np.array([c[w] for w in names])))
-        assert (got >= want).all() and (got == want).mean() > 0.97
-        assert (model.count(lm_score.unigram_keys(lm_score.hashes([f"u{i}" for i in range(5000)])), 1) > 0).mean() < 0.02
-
-
-def test_filter_is_bounded(spark):
-    df = spark.createDataFrame([(" ".join(f"t{i}" for i in range(20_000)),)], "text string")
-    model = lm_score.build_filter(lm_score.count_ngrams(df, 2), 2, most_bits=1 << 16)
-    assert len(model.bits) * 8 <= 1 << 16
+    keys, counts = np.unique(rng.zipf(1.3, 60_000) % 30_000, return_counts=True)
+    keys = lm_score.mix(keys.astype(np.uint64))
+    model = lm_score.LogFrequencyBloom({1: (keys, lm_score.levels(counts)), 2: (keys[:100], lm_score.levels(counts[:100]))})
+    got = model.level(keys, 1)
+    assert (got >= lm_score.levels(counts)).all() and (got == lm_score.levels(counts)).mean() > 0.97
+    assert (model.level(lm_score.mix(np.arange(50_000, 90_000, dtype=np.uint64)), 1) > 0).mean() < 0.02
+    assert model.level(keys, 3).max() == 0
+
+
+def test_a_full_filter_still_answers():
+    """With every bit set each key has the highest level; probing ends."""
+    model = lm_score.LogFrequencyBloom({1: (np.arange(10, dtype=np.uint64), np.arange(1, 11))})
+    model.bits[:] = 255
+    assert (model.level(np.arange(1000, dtype=np.uint64), 1) == 10).all()
+
+
+@pytest.mark.parametrize("width", [4, 8])
+def test_planes(width):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        x = np.unique(rng.integers(0, 1 << (8 * width - 1), n).astype(np.uint64))
+        assert (lm_score.from_sorted_planes(lm_score.sorted_planes(x, width), width) == x).all()
+        assert (lm_score.from_planes(lm_score.planes(x, width), width) == x).all()
 
 
 def test_placement(spark, make):
