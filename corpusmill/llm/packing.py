@@ -13,8 +13,8 @@ that share one lane, in which their documents stand in hash order.
 
 The last tokens, fewer than a window, are cut into powers of two, so no sequence needs any padding.
 
-Token ids are those of the ``tokenizers`` file. As that library takes five times the CPU, its vocabulary is run by
-tiktoken's BPE, piece by distinct piece; tests hold the ids against ``tokenizers``.
+Token ids are those of the ``tokenizers`` file. As that library takes over ten times the CPU, its vocabulary is run by
+tiktoken's BPE; tests hold the ids against ``tokenizers``.
 
 Defined results: null text is empty and has only the end id; null sources are a source of their own; documents are
 ordered by a hash of doc_id, then doc_id, and rows that repeat a doc_id are each packed, once; shares of sources that
@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
@@ -34,7 +35,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +43,13 @@ from corpusmill.llm.common import materialize, text_chunks
 END_ID = 1
 #: GPT-2's split into pieces, as the tokenizer's file asks for (a fixed value of that public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Where a cut before each space could fall into a run of blanks; such texts are encoded as a whole.
-BLANK_RUN = r" [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]| $"
-CACHE_ENTRIES = 200_000
 NULL_SOURCE = "\x00null"
 #: Of a running sum: rows that are summed in one task, and sums of blocks.
 BLOCK_ROWS, BLOCK_SUMS = 256, 1024
 
 
 class Encoder:
-    """Ids of texts; remembers those of up to ``CACHE_ENTRIES`` distinct pieces."""
+    """Ids of texts."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -64,65 +61,13 @@ class Encoder:
         others = [b for b in range(256) if b not in own]
         to_byte = {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(others)}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in to_byte for c in token) and token != "<|endoftext|>"}
-        #: ids are kept in two bytes where they fit
-        self.width = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
         self.encode = tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 16, self.width), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        if len(self.at) + len(pieces) > CACHE_ENTRIES:
-            self.forget()
-        out, at = np.empty(len(pieces), np.int64), self.at
-        for i, piece in enumerate(pieces):
-            if (k := at.get(piece)) is None:
-                k = at[piece] = len(at)
-                ids = self.encode(piece)
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-                if k >= len(self.starts):
-                    self.starts, self.lengths = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.lengths))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.used += len(ids)
-            out[i] = k
-        return out
+        #: ids are kept in two bytes where they fit
+        self.kind, self.width = ("H", "<u2") if max(ranks.values()) < 1 << 16 else ("I", "<u4")
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, END_ID last."""
-        texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, BLANK_RUN).to_numpy(zero_copy_only=False)
-        out: list[np.ndarray | None] = [np.array([*self.encode(texts[int(i)].as_py()), END_ID], self.width) if odd else None for i, odd in enumerate(whole)]
-        rest = np.flatnonzero(~whole)
-        if not len(rest):
-            return out
-        split = pc.split_pattern(texts.take(pa.array(rest)), " ")
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        flat = split.values.dictionary_encode()
-        codes, distinct = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
-        first = np.zeros(len(codes), bool)
-        first[bounds[:-1]] = True
-        # a piece has its space before it, but for the first of a text
-        starts_text = np.zeros(len(distinct), bool)
-        starts_text[codes[first]] = True
-        inner = np.zeros(len(distinct), bool)
-        inner[codes[~first]] = True
-        keys = [" " + w for w, y in zip(distinct, inner, strict=True) if y] + [w for w, y in zip(distinct, starts_text, strict=True) if y]
-        known = self._learn(keys)
-        number = np.zeros((2, len(distinct)), np.int64)
-        number[0, inner], number[1, starts_text] = known[: inner.sum()], known[inner.sum() :]
-        piece = number[first.astype(np.int64), codes]
-        lengths = self.lengths[piece]
-        ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.starts[piece] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate(([0], ends))[bounds]
-        for i, lo, hi in zip(rest.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out[i] = np.append(ids[lo:hi], np.array([END_ID], self.width))
-        return out
+        return [np.frombuffer(array(self.kind, [*self.encode(t or ""), END_ID]), self.width) for t in texts.to_pylist()]
 
 
 @lru_cache(maxsize=2)
