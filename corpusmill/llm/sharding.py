@@ -5,8 +5,9 @@ name). In turns, each shard claims the next free slot it prefers, heavier shards
 of its key's hash: constant time, from a table of fixed size that is a constant of the plan. Shards get equal numbers
 of slots (to one for each turn), and few slots move when shards come or go.
 
-Defined results: null keys are a key like another; repeated keys get the same shard; an empty table gives an empty
-result; other columns are kept out.
+Defined results: null keys are a key like another (a null and the text "null" share a slot); empty and very long keys are
+hashed whole; repeated keys get the same shard; an empty table gives an empty result; other columns are kept out, and the
+key's column may have any name but ``slot`` and ``shard``, under which it is returned as ``key``.
 """
 
 from __future__ import annotations
@@ -51,5 +52,6 @@ def place(rows: DataFrame, shards: list[str], key_col: str = "doc_id", size: int
     """key, slot, shard (name) for each row; no shuffle."""
     table = F.from_json(F.lit(json.dumps(lookup_table(shards, size, weights))), "array<int>")
     names = F.array(*map(F.lit, shards))
-    slot = slot_of(F.col(key_col), size)
-    return rows.select(F.col(key_col), slot.alias("slot")).select(key_col, "slot", F.element_at(names, F.element_at(table, F.col("slot") + 1) + 1).alias("shard"))
+    name = "key" if key_col.lower() in ("slot", "shard") else key_col
+    placed = rows.select(F.col(key_col).alias(name), slot_of(F.col(key_col), size).alias("slot"))
+    return placed.select(name, "slot", F.element_at(names, F.element_at(table, F.col("slot") + 1) + 1).alias("shard"))

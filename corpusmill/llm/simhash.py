@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, text_chunks, without
+from corpusmill.llm.common import materialize, one_each, text_chunks
 
 SEED = 42
 #: Hashes are added up in blocks of so many.
@@ -49,16 +49,16 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, and ``more`` columns of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text"):
             texts = part.column("text").cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64()), *map(part.column, more)], ["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def covering_masks(radius: int, positions: list[int]) -> list[int]:
@@ -180,11 +180,12 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, bucket_cap: int = 1 <<
     return links.distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node of each linked node's component, by alternating large and small stars.
 
     A node's least neighbour comes from a map-side aggregation and a join that Spark may split where it is skewed, so
-    a hub's links never meet in one task. Each round is written to the shared folder.
+    a hub's links never meet in one task. Each round is written to the shared folder. Rounds go on until one changes
+    nothing, which takes of the order of log(n)^2 of them: each makes every node point at a lesser one, or at the least.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -196,13 +197,12 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         return joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
     pairs, before = materialize(links.where("a != b").distinct(), "cc"), None
-    for _ in range(max_rounds):
+    while True:
         pairs = materialize(star(star(pairs, True), False), "cc")
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = (now.n, now.h)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket_cap: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,6 +215,12 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, bucke
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    found = simhash_components(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    return without(docs, found.where("doc_id != component_id").select("doc_id"), id_col)
+    """The documents that stay, one row of each component, with all their columns; rows may repeat a doc_id."""
+    found = materialize(simhash_components(docs, shingle, radius, id_col=id_col, text_col=text_col).withColumn("kept", F.col("doc_id") == F.col("component_id")), "simhash-dedup")
+    named = found.select(F.col("fingerprint").alias("__fp"), F.col("component_id").alias("group")).distinct()
+
+    def grouped(many: DataFrame, row: str) -> DataFrame:
+        own = fingerprints(many, shingle, id_col, text_col, row).withColumn("__fp", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+        return own.join(named.hint("merge"), "__fp").select(row, "group", (F.col("doc_id") == F.col("group")).alias("kept"), F.lit(0).alias("worse"))
+
+    return one_each(docs, found, grouped, id_col)

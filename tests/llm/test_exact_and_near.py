@@ -20,10 +20,11 @@ def norm(t):
 
 
 def brute_exact(rows):
+    """Of rows that repeat a doc_id and a text, one stays."""
     groups = defaultdict(list)
     for i, t in rows:
         groups[norm(t)].append((-len(t or ""), i))
-    return sorted((i, min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, i in g)
+    return sorted((i, min(g)[1], len(g), not k, hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for k, (_, i) in enumerate(sorted(g)))
 
 
 def test_exact_odd_rows(make):
@@ -36,17 +37,33 @@ def test_exact_empty_table(make):
     assert exact_dedup.keep_first(make(ODD).limit(0)).collect() == []
 
 
-def test_index_keeps_earlier_batches(spark, make):
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_in_batches(make, batches):
+    """However many batches go through the index, the rows are the same, and no table is left."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(200), rng.choice(["", None, " ", "a", "a ", "A", "b c", "b  c", "bc", f"x{i}"])) for i in range(300)]
+    docs = make(rows)
+    before = len(docs.sparkSession.catalog.listTables())
+    got = exact_dedup.exact_dedup(docs, batches=batches).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got)) == brute_exact(rows)
+    assert len(docs.sparkSession.catalog.listTables()) == before
+
+
+def test_index_over_batches(spark, make):
     index = exact_dedup.DigestIndex(spark, buckets=4)
-    first = exact_dedup.exact_dedup(make([(10, "a b"), (11, "c")]), index, "1").collect()
+    first = exact_dedup.exact_dedup(make([(10, "a b"), (11, "c")]), index).collect()
     assert all(r.kept for r in first)
-    second = {r.doc_id: r for r in exact_dedup.exact_dedup(make([(1, "ab"), (2, "new"), (3, "n e w")]), index, "2").collect()}
-    assert (second[1].keep_id, second[1].kept) == (10, False)
-    assert (second[2].keep_id, second[3].kept) == (3, True)
-    assert index.read().count() == 3
-    # the index itself is read in its buckets, without a shuffle
-    plan = index.read().join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    second = {r.doc_id: r for r in exact_dedup.exact_dedup(make([(1, "ab"), (2, "new"), (3, "n e w"), (20, "c"), (21, " c")]), index).collect()}
+    assert (second[1].keep_id, second[1].kept) == (10, False)  # the earlier row has more code points
+    assert (second[2].keep_id, second[3].kept, second[2].group_size) == (3, True, 2)
+    assert (second[20].keep_id, second[21].kept) == (21, True)  # more code points than the earlier row of that text
+    assert sorted(r.keep_id for r in index.keepers().collect()) == [3, 10, 21]
+    # what is new is found by a sort-merge anti-join that reads the index in its buckets, without a shuffle of it
+    groups = exact_dedup.grouped(exact_dedup.digests(make([(1, "q")])).withColumn("row", exact_dedup.F.lit(1)))
+    plan = index.lacking(groups)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "BroadcastHashJoin" not in plan
+    own = index.read().join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in own
     index.drop()
 
 
@@ -54,7 +71,7 @@ def test_keep_first_keeps_columns(make):
     docs = make(ODD)
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted({r.doc_id for r in kept.collect()}) == [3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
 def brute_fingerprint(text, k=4):
@@ -142,4 +159,5 @@ def test_keep_one(make):
     docs = make(ODD)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 4, 6, 7]
+    # document 4 stands there twice, and one of its rows stays
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7]
