@@ -24,9 +24,9 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("most_bits", [url_filter.MOST_BITS, 0])
+@pytest.mark.parametrize("most_bits", [url_filter.MOST_BITS, 256])
 def test_rules_against_brute_force(spark, monkeypatch, most_bits):
-    """Also by the join that takes over where filters would be too large."""
+    """Also with a list cut into several parts, each with its own cascades."""
     monkeypatch.setattr(url_filter, "MOST_BITS", most_bits)
     rng = random.Random(4)
     hosts = ["com", "a.com", "b.a.com", "org", "x.org"]
@@ -61,3 +61,19 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     assert [tuple(r) for r in url_filter.judge(pages, rules).collect()] == [(1, "a", "/b", None, "allow")]
     assert url_filter.judge(pages.limit(0), spark.createDataFrame(URL_RULES, "verdict string, host string, path string")).collect() == []
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_rule_ties_and_odd_rules(spark, turn):
+    """Block wins, in whatever order the rules come; rules without a host or with another verdict fit nothing."""
+    rules = [("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("allow", None, "/"), ("maybe", "b.com", "/"), (None, "b.com", ""), ("block", "c.com", None)][::turn]
+    pages = [(1, "http://a.com/xy"), (2, "http://b.com/"), (1, "http://a.com/xy"), (3, "http://w.C.com")]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in got), key=str) == [(1, "a.com/x", "block"), (1, "a.com/x", "block"), (2, None, "allow"), (3, "c.com", "block")]
+
+
+def test_no_join_with_the_urls(spark, sf):
+    """The judging plan has no join and no shuffle, however long the list."""
+    rules = spark.range(3000).selectExpr("if(id % 2 = 0, 'block', 'allow') AS verdict", "concat('h', id, '.com') AS host", "'/' AS path")
+    plan = url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"), rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
