@@ -5,12 +5,16 @@ is kept as a fingerprint. A window of L words has L-k+1 = w such hashes, so any
 fingerprint: none is missed. Fingerprints of documents are met with those of the benchmark, and each hit is extended to
 the windows of L words around it, which are compared as text; hash collisions cannot give false hits.
 
+A document is winnowed only if any of its k-grams is a fingerprint of the benchmark; the others cannot share a span.
+
 The benchmark's fingerprints are counted. Up to ``literal_limit`` they become a set inside the scan, so that clean
-documents are never shuffled; more are joined by hash.
+documents are never shuffled; more are joined by hash, behind a Bloom filter of at most 1 MB that keeps most hashes of
+clean documents out of the exchange. Rows are the same either way.
 
 Defined results: null text has no words, neither has an empty one; such items have no window; an item of fewer words
 than a window is one window as a whole; repeated items count each under its own id; an item_id on several rows
-counts once; an empty benchmark marks nothing; other columns are ignored.
+counts once; rows that repeat a doc_id are judged each by its own text; an empty benchmark marks nothing; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import LOWER, UPPER, let, materialize, without
+from corpusmill.llm.common import LOWER, UPPER, by_row, let, materialize
+from corpusmill.llm.url_filter import MOST_BITS, bloom
 
 #: ASCII but letters and digits; all else belongs to words.
 SEPARATORS = "".join(map(chr, range(0x80))).translate(dict.fromkeys([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
@@ -58,13 +63,12 @@ def benchmark_windows(benchmark: DataFrame, length: int, id_col: str = "item_id"
     return items.select("item_id", "n", F.explode(spans(F.col("w"), F.col("n"))).alias("s")).select("item_id", "n", F.col("s.window").alias("window")).distinct()
 
 
-def _around(words: Column, k: int, n: int, hashes: Column, wanted: Column) -> Column:
-    """The windows of n words that hold a k-gram whose hash is wanted: array<struct<start,window>>."""
+def _around(words: Column, k: int, n: int, hits: Column) -> Column:
+    """The windows of n words that hold one of the k-grams at these places: array<struct<start,n,window>>."""
     w = n - k + 1
-    hits = F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda p: F.array_contains(wanted, F.element_at(hashes, p)))
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(F.greatest(p - (w - 1), F.lit(1)), F.least(p, F.size(words) - (n - 1))))))
     found = F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("window")))
-    return F.when((F.size(wanted) > 0) & (F.size(words) >= n), found).otherwise(F.array().cast("array<struct<start:bigint,n:int,window:string>>"))
+    return F.when((F.size(hits) > 0) & (F.size(words) >= n), found).otherwise(F.array().cast("array<struct<start:bigint,n:int,window:string>>"))
 
 
 def contamination(
@@ -85,43 +89,47 @@ def contamination(
     small = sum(counts.values()) <= literal_limit
     chosen = {n: [r.fp for r in f.collect()] for n, f in known.items()} if small else {}
     if not small:
-        base = _join_prints(base, known, k)
+        base = _join_prints(materialize(base.withColumn("row", F.monotonically_increasing_id()), "decontaminate-texts"), known, counts, k)
 
-    def around(words: Column, n: int) -> Callable[[Column], Column]:
+    def places(hashes: Column, n: int) -> Column:
+        """Where the document's winnowed fingerprints that the benchmark has stand."""
         kk = min(k, n)
-
-        def of(hashes: Column) -> Column:
-            wanted = F.filter(winnowed(hashes, n - kk + 1), lambda x: x.isin(chosen[n])) if small else F.coalesce(F.col("wanted")[n], F.array().cast("array<bigint>"))
-            return let(wanted, lambda got: _around(words, kk, n, hashes, got))
-
-        return of
+        nowhere = F.array().cast("array<int>")
+        if small:
+            listed = lambda x: x.isin(chosen[n])
+            kept = let(F.filter(winnowed(hashes, n - kk + 1), listed), lambda got: _places_of(hashes, got))
+            return F.when(F.exists(hashes, listed), kept).otherwise(nowhere)
+        got = F.col("wanted")[n]
+        return F.when(got.isNotNull(), _places_of(hashes, got)).otherwise(nowhere)
 
     def row(words: Column) -> Column:
         found = F.array().cast("array<struct<start:bigint,n:int,window:string>>")
         for n in sizes:
-            found = F.concat(found, let(grams(words, min(k, n)), around(words, n)))
+            kk = min(k, n)
+            found = F.concat(found, let(grams(words, kk), lambda h: let(places(h, n), lambda hits: _around(words, kk, n, hits))))  # noqa: B023
         return F.struct(F.size(words).cast("long").alias("n_words"), found.alias("candidates"))
 
-    scanned = materialize(base.select("doc_id", let(words_of(F.col("text")), row).alias("r")), "decontaminate-scan")
-    candidates = scanned.where(F.size("r.candidates") > 0).select("doc_id", F.explode("r.candidates").alias("c")).select("doc_id", "c.start", "c.n", "c.window")
+    numbered = base if "row" in base.columns else base.withColumn("row", F.monotonically_increasing_id())
+    scanned = materialize(numbered.select("row", "doc_id", let(words_of(F.col("text")), row).alias("r")), "decontaminate-scan")
+    candidates = scanned.where(F.size("r.candidates") > 0).select("row", F.explode("r.candidates").alias("c")).select("row", "c.start", "c.n", "c.window")
     # distinct windows first: a passage that many items hold is one row here
     distinct_windows = windows.groupBy("n", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    hits = materialize(candidates.join(distinct_windows, ["n", "window"]).select("doc_id", "start", "n", "items"), "decontaminate-hits")
+    hits = materialize(candidates.join(distinct_windows, ["n", "window"]).select("row", "start", "n", "items"), "decontaminate-hits")
     # a word is hit if a window starts in the ``length`` words up to it: each start adds what the one before it leaves open
-    spanned = hits.groupBy("doc_id", "start").agg(F.max("n").alias("n"))
-    covered = spanned.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("s"))
+    spanned = hits.groupBy("row", "start").agg(F.max("n").alias("n"))
+    covered = spanned.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("s"))
     n_hit = F.aggregate(
         "s",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["end"]), F.lit(0).cast("long"))).alias("n"), F.greatest(a["end"], x["end"]).alias("end")),
         lambda a: a["n"],
     )
-    items = hits.select("doc_id", F.explode("items").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = covered.select("doc_id", n_hit.alias("n_hit")).join(items, "doc_id")
+    items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    found = covered.select("row", n_hit.alias("n_hit")).join(items, "row")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        scanned.select("doc_id", F.col("r.n_words").alias("n_words"))
-        .join(found, "doc_id", "left")
+        scanned.select("row", "doc_id", F.col("r.n_words").alias("n_words"))
+        .join(found, "row", "left")
         .select(
             "doc_id",
             "n_words",
@@ -133,27 +141,40 @@ def contamination(
     )
 
 
-def _join_prints(base: DataFrame, known: dict[int, DataFrame], k: int) -> DataFrame:
-    """``base`` with ``wanted``: for each window length, the document's fingerprints that the benchmark has, found by a shuffled join."""
+def _places_of(hashes: Column, wanted: Column) -> Column:
+    """The places of the wanted hashes, by a map of them: linear, however many a text shares."""
+    of = F.map_from_arrays(F.array_distinct(wanted), F.array_distinct(wanted))
+    return let(of, lambda m: F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda p: F.map_contains_key(m, F.element_at(hashes, p))))
+
+
+def _join_prints(base: DataFrame, known: dict[int, DataFrame], counts: dict[int, int], k: int) -> DataFrame:
+    """``base`` with ``wanted``: for each window length, the row's fingerprints that the benchmark has, found by a shuffled join."""
     words = words_of(F.col("text"))
+    filters = {n: bloom(f.select(F.col("fp").alias("key")), counts[n], max(1e-3, 2 ** (-MOST_BITS / len(known) / 1.4427 / max(1, counts[n]) + 0.01)), n) for n, f in known.items()}
 
     def shown_for(n: int) -> Column:
         kk = min(k, n)
-        return F.struct(F.lit(n).alias("n"), let(words, lambda w: let(grams(w, kk), lambda h: winnowed(h, n - kk + 1))).alias("fps"))
+        maybe = filters[n]
+        passed = lambda h: F.filter(winnowed(h, n - kk + 1), maybe.has) if maybe else winnowed(h, n - kk + 1)
+        return F.struct(F.lit(n).alias("n"), let(words, lambda w: let(grams(w, kk), passed)).alias("fps"))
 
     shown = [shown_for(n) for n in known]
     if not shown:
         return base.withColumn("wanted", F.lit(None).cast("map<int,array<bigint>>"))
-    mine = base.select("doc_id", F.explode(F.array(*shown)).alias("s")).select("doc_id", "s.n", F.explode("s.fps").alias("fp"))
+    mine = base.select("row", F.explode(F.array(*shown)).alias("s")).select("row", "s.n", F.explode("s.fps").alias("fp"))
     listed = None
     for n, f in known.items():
         part = f.select(F.lit(n).alias("n"), "fp")
         listed = part if listed is None else listed.unionByName(part)
-    got = mine.join(listed.hint("merge"), ["n", "fp"]).groupBy("doc_id", "n").agg(F.collect_set("fp").alias("fps"))
-    wanted = materialize(got.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "fps"))).alias("wanted")), "decontaminate-wanted")
-    return base.join(wanted, "doc_id", "left")
+    got = mine.join(listed.hint("merge"), ["n", "fp"]).groupBy("row", "n").agg(F.collect_set("fp").alias("fps"))
+    wanted = materialize(got.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("n", "fps"))).alias("wanted")), "decontaminate-wanted")
+    return base.join(wanted, "row", "left")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that share no window with the benchmark, with all their columns."""
-    return without(docs, contamination(docs, benchmark, length, id_col=id_col, text_col=text_col).where("contaminated").select("doc_id"), id_col)
+    """The documents that share no window with the benchmark, with all their columns; rows may repeat a doc_id."""
+
+    def judged(rows: DataFrame, ids: str) -> DataFrame:
+        return contamination(rows, benchmark, length, id_col=ids, text_col=text_col).select("doc_id", (~F.col("contaminated")).alias("kept"))
+
+    return by_row(docs, materialize(judged(docs, id_col), "decontaminate-verdicts"), lambda many, row: judged(many, row).where("kept").select(F.col("doc_id").alias(row)), id_col)

@@ -49,6 +49,26 @@ def test_against_brute_force(spark, make, limit):
     assert rows(decontaminate.contamination(make(docs), bench, literal_limit=limit)) == brute(docs, items)
 
 
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_rows_that_share_an_id_are_judged_each(spark, make, limit):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = make([(1, "a b c x"), (1, "zz yy"), (2, "q"), (1, None)])
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, bench, literal_limit=limit).collect())
+    assert got == [(1, 0, 0, False), (1, 2, 0, False), (1, 4, 3, True), (2, 1, 0, False)]
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, ""), (1, "zz yy"), (2, "q")]
+
+
+def test_a_long_text_that_is_all_benchmark(spark, make):
+    import time
+
+    text = " ".join(f"w{i * 7919 % 15_000}" for i in range(15_000))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    t = time.time()
+    assert [r.n_hit for r in decontaminate.contamination(make([(1, text)]), bench).collect()] == [15_000]
+    assert time.time() - t < 60
+
+
 def test_empty_tables(spark, make):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.doc_id: r.contaminated for r in decontaminate.contamination(make([(1, "a"), (2, None)]), bench).collect()} == {1: False, 2: False}
