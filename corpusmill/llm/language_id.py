@@ -7,7 +7,9 @@ a letter; a temperature makes the gap to the others a probability, and a languag
 that are like none (rejected).
 
 The models come from a bounded sample: about ``docs_per_language`` labelled documents of each language, chosen by a hash
-of doc_id, whole texts. So their size, and that of the broadcast, has a bound.
+of doc_id, whole texts. So their size, and that of the broadcast, grows with the number of languages only. Every language
+that a row names is learned, however rare; the calibration holds out rows of languages with ``ENOUGH`` of them only, so
+that a rare one is not left without words.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without a training row all texts are;
 null languages are not learned; ties go to the language first in alphabetical order; repeated rows are judged each; an
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import materialize, text_chunks
 
 ORDER = 5
+#: Labelled rows of a language from which on a fifth of them calibrates.
+ENOUGH = 10
 START, STOP = 2, 3
 #: Words whose scores a worker remembers.
 CACHE_WORDS = 300_000
@@ -172,10 +176,10 @@ def decide(model: LanguageModels, sums: np.ndarray, letters: np.ndarray) -> tupl
     return best, share, entropy
 
 
-def fit_languages(docs: DataFrame, docs_per_language: int = 1000, order: int = ORDER, most_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
+def fit_languages(docs: DataFrame, docs_per_language: int = 1000, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
     """Learns from all rows of ``docs`` with a language."""
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = sorted(counts)
     empty = (np.empty(0, np.uint64), np.empty((0, len(languages)), np.float32))
     if not languages:
@@ -184,7 +188,8 @@ def fit_languages(docs: DataFrame, docs_per_language: int = 1000, order: int = O
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20))
     sample = materialize(known.where(h < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)), "language-sample")
     # a fifth of the sample tells how sure to be
-    part = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5))
+    rare = [lang for lang, n in counts.items() if n < ENOUGH]
+    part = F.when(F.col("lang").isin(rare), 1).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", 4 << 20):

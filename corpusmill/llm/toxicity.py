@@ -3,14 +3,16 @@
 The lexicon is learned from labelled training rows: words and stems that stand in many distinct contexts of toxic
 documents and in few of clean ones (contexts, not documents, so that copies of one toxic text add nothing). Its trie is
 intersected with Levenshtein automata, made deterministic as words are read: a state is the set of (trie node, edits)
-that the letters so far allow, and most words die after a few letters. Each hit is weighed in a window of words around
-it: quotation marks and verbs of reporting make it a quotation, address in the second person makes it abuse. A logistic
-regression over these counts gives the score.
+that the letters so far allow, and most words die after a few letters. Each hit is weighed in its sentence, as far as a
+window of words reaches: it is a quotation if an opening mark before it and the closing mark that belongs to it stand
+around it, or if a word of reporting does without marks; address in the second person outside those marks makes it
+abuse. An apostrophe, or marks around other words, quote nothing. A logistic regression over these counts gives the score.
 
 Defined results: null and empty texts have no hits and get the score of a text without any; labels of unknown documents,
 null labels and labels other than 0 and 1 are not used, and of several labels of a document the highest counts; with no
 toxic (or no clean) training row the lexicon is empty and every score is the smoothed rate of label 1; repeated rows are
-scored each; an empty table gives an empty result; other columns are ignored.
+scored each; an empty table gives an empty result; other columns are ignored. The lexicon has no limit of its own; the
+bounded sample that it is learned from bounds it.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, text_chunks, without
+from corpusmill.llm.common import by_row, materialize, text_chunks
 
-QUOTES = "\"'`«»‹›“”„‚‘’"
+#: Opening marks, with the marks that close them.
+CLOSING = {'"': '"', "'": "'", "`": "`'", "«": "»", "»": "«", "‹": "›", "›": "‹", "“": "”", "„": "“”", "‚": "‘’", "‘": "’", "”": "”", "’": "’"}
+QUOTES = "".join(CLOSING)
 PUNCTUATION = QUOTES + ".,;:!?()[]{}<>|/\\-–—_…"
+SENTENCE_ENDS = ".!?…"
 #: Verbs and nouns of reporting, and second-person address.
 REPORTING = {"said", "says", "quote", "quoted", "called", "wrote", "writes", "word", "term", "sagte", "sagt", "schrieb", "wort", "dit", "écrit", "mot", "dijo", "dice", "escribió", "palabra"}
 ADDRESS = {"you", "your", "you're", "ur", "u", "du", "dich", "dir", "dein", "tu", "toi", "te", "ton", "vous", "tú", "ti", "usted"}
@@ -124,20 +129,62 @@ class FuzzyTrie:
         return self.accepts[state]
 
 
+def marks_of(word: str) -> tuple[str, str]:
+    """The quotation marks before a word's letters, and those after; marks that stand alone are both."""
+    core = word.strip(PUNCTUATION)
+    at = word.find(core) if core else len(word)
+    before = "".join(c for c in word[:at] if c in QUOTES)
+    return before, "".join(c for c in word[at + len(core) :] if c in QUOTES) if core else before
+
+
+def quotation(words: list[str]) -> list[int]:
+    """Of a sentence's words: the number of the quotation that each stands in, 0 for none. Marks that do not match quote nothing."""
+    out, opened = [0] * len(words), None
+    for i, w in enumerate(words):
+        before, after = marks_of(w)
+        alone = not w.strip(PUNCTUATION)
+        closes = lambda: opened and any(c in opened[1] for c in after)  # noqa: B023, E731
+        if before and not (alone and closes()):
+            opened = (i, CLOSING[before[-1]])
+            if alone:
+                continue
+        if closes():
+            out[opened[0] : i + 1] = [opened[0] + 1] * (i + 1 - opened[0])
+            opened = None
+    return out
+
+
+def sentence_around(words: list[str], i: int, window: int) -> tuple[int, int]:
+    """The bounds of the words around one, up to the sentence's ends and ``window`` words to each side."""
+    lo, hi = i, i + 1
+    while lo > max(0, i - window) and not words[lo - 1].rstrip(QUOTES + ")]}").endswith(tuple(SENTENCE_ENDS)):
+        lo -= 1
+    while hi < min(len(words), i + window + 1) and not words[hi - 1].rstrip(QUOTES + ")]}").endswith(tuple(SENTENCE_ENDS)):
+        hi += 1
+    return lo, hi
+
+
 def context_features(kinds: list[int], at: list[int], words: list[str], n: int, window: int) -> list[float]:
     """Of a document's hits (kinds and positions) among its n words."""
     plain, quoted, addressed, spots = [0, 0, 0], 0, 0, []
     for kind, i in zip(kinds, at, strict=True):
-        around = words[max(0, i - window) : i + window + 1]
-        cores = {w.strip(PUNCTUATION) for w in around}
-        marks = any(c in QUOTES for w in around for c in (w[:1], w[-1:]))
-        if marks or cores & REPORTING and not cores & ADDRESS:
+        lo, hi = sentence_around(words, i, window)
+        own = words[lo:hi]
+        inside = quotation(own)
+        number = inside[i - lo]
+        outside = {w.strip(PUNCTUATION) for w, k in zip(own, inside, strict=True) if not number or k != number}
+        address = bool(outside & ADDRESS)
+        if not address and (number or outside & REPORTING):
             quoted += 1
             continue
         plain[kind - 1] += 1
-        addressed += bool(cores & ADDRESS)
+        addressed += address
         spots.append(i)
-    densest = max((sum(1 for x in spots[j : j + 8] if x - i <= 4 * window) for j, i in enumerate(spots)), default=0)
+    densest, first = 0, 0
+    for last, i in enumerate(spots):
+        while i - spots[first] > 4 * window:
+            first += 1
+        densest = max(densest, last - first + 1)
     return [*(math.log1p(x) for x in (*plain, quoted, addressed, densest)), float(bool(spots)), min(1.0, 50 * len(spots) / max(1, n)) if n else 0.0]
 
 
@@ -196,7 +243,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b[:-1].tolist(), float(b[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_contexts: int = 5, lift: float = 30.0, most_entries: int = 5000, window: int = 6, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_contexts: int = 5, lift: float = 30.0, window: int = 6, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from ``docs`` that ``labels`` (doc_id, toxic) covers.
 
     The fit uses a bounded sample: about ``per_class`` documents of each label, chosen by a hash of doc_id, whole texts.
@@ -228,7 +275,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_
 
     def strong(table: DataFrame) -> DataFrame:
         rate = F.col("bad") / F.lit(float(max(1, totals.bad or 0)))
-        return table.where((F.col("bad") >= min_contexts) & (rate >= lift * (F.col("good") + 0.5) / F.lit(float(max(1, totals.good or 0))))).orderBy(F.desc("bad"), "word").limit(most_entries)
+        return table.where((F.col("bad") >= min_contexts) & (rate >= lift * (F.col("good") + 0.5) / F.lit(float(max(1, totals.good or 0))))).orderBy(F.desc("bad"), "word")
 
     prefixes = F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(8))), lambda k: F.substring("word", 1, k))
     by_stem = by_word.where(F.length("word") >= 4).select(F.explode(prefixes).alias("word"), "bad", "good")
@@ -255,6 +302,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **fit: object) -> DataFrame:
-    """The documents that score under ``threshold``, with all their columns."""
-    scored = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **fit).score(docs, id_col, text_col)
-    return without(docs, scored.where(F.col("score") >= threshold).select("doc_id"), id_col)
+    """The documents that score under ``threshold``, with all their columns; rows may repeat a doc_id."""
+    model = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **fit)
+
+    def judged(rows: DataFrame, ids: str) -> DataFrame:
+        return model.score(rows, ids, text_col).select("doc_id", (F.col("score") < threshold).alias("kept"))
+
+    return by_row(docs, materialize(judged(docs, id_col), "toxicity-verdicts"), lambda many, row: judged(many, row).where("kept").select(F.col("doc_id").alias(row)), id_col)

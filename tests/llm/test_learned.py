@@ -170,6 +170,206 @@ def test_context_parts_quotation_from_abuse():
     assert not x[3:].any()
 
 
+ABUSE = ["you are an idiot and your \"work\" is bad", "you idiot, that's the dogs' bowl", 'you are an "idiot"', "the dogs' idiot' bowl", 'an idiot. he said "fine"', '"well" idiot "well"', "l'idiot"]
+QUOTATION = ['he said "idiot" to them', 'he said "you idiot"', "they wrote „idiot“ there", "« un idiot »", "‘idiot’", "he called them an idiot", '("idiot")']
+
+
+@pytest.mark.parametrize("text", ABUSE[:6])
+def test_abuse_is_not_taken_for_quotation(text):
+    x = toxicity.features(pa.array([text]), toxicity.FuzzyTrie(["idiot"], []), 6)
+    assert x[0, 0] > 0 and x[0, 3] == 0
+
+
+@pytest.mark.parametrize("text", QUOTATION)
+def test_quotation_is_told_by_its_marks(text):
+    x = toxicity.features(pa.array([text]), toxicity.FuzzyTrie(["idiot"], []), 6)
+    assert x[0, 0] == 0 and x[0, 3] > 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_toxicity(text, model):
+    """A text's score, word by word, by edit distances and a search for marks around each hit."""
+    words = (text or "").lower().split()
+    n, marks = len(words), toxicity.CLOSING
+    core = lambda w: w.strip(toxicity.PUNCTUATION)
+    counts, spots = {"exact": 0, "stem": 0, "fuzzy": 0, "quoted": 0, "addressed": 0}, []
+    for i, w in enumerate(words):
+        c = core(w)
+        if any(c.startswith(s) for s in model.stems):
+            kind = "stem"
+        else:
+            near = [edit_distance(c, t) for t in model.words if edit_distance(c, t) <= (0 if len(t) < 5 else 1 if len(t) < 10 else 2)]
+            if not near:
+                continue
+            kind = "fuzzy" if min(near) else "exact"
+        lo = i
+        while lo > 0 and i - lo < model.window and words[lo - 1].rstrip(toxicity.QUOTES + ")]}")[-1:] not in {*".!?…"}:
+            lo -= 1
+        hi = i
+        while hi + 1 < n and hi - i < model.window and words[hi].rstrip(toxicity.QUOTES + ")]}")[-1:] not in {*".!?…"}:
+            hi += 1
+        # the nearest word at or before the hit that opens, whose closing mark comes first at or after it
+        span = set()
+        for j in range(i, lo - 1, -1):
+            lead = words[j][: words[j].find(core(words[j]))] if core(words[j]) else words[j]
+            lead = [x for x in lead if x in marks]
+            if lead:
+                close = marks[lead[-1]]
+                ends = [t for t in range(j, hi + 1) if any(x in close for x in (words[t][words[t].rfind(core(words[t])) + len(core(words[t])) :] if core(words[t]) else ""))]
+                again = [t for t in range(i + 1, hi + 1) if any(x in marks for x in (words[t][: words[t].find(core(words[t]))] if core(words[t]) else words[t]))]
+                if ends and ends[0] >= i and not any(t <= ends[0] and t > i for t in again):
+                    span = set(range(j, ends[0] + 1))
+                break
+        outside = {core(words[t]) for t in range(lo, hi + 1) if t not in span}
+        address = bool(outside & toxicity.ADDRESS)
+        if not address and (span or outside & toxicity.REPORTING):
+            counts["quoted"] += 1
+            continue
+        counts[kind] += 1
+        counts["addressed"] += address
+        spots.append(i)
+    densest = max((sum(1 for y in spots if 0 <= y - x <= 4 * model.window) for x in spots), default=0)
+    x = [math.log1p(v) for v in (*counts.values(), densest)] + [float(bool(spots)), min(1.0, 50 * len(spots) / n) if n else 0.0]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, model.weights)) + model.bias)))
+
+
+def test_toxicity_scores_and_lexicon_against_brute_force(spark, make):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    plain = [f"w{i}" for i in range(120)] + ["you", "said", "your."]
+    bad = ["idiot", "blockhead", "numbskulls", "fooa", "foob", "fooc"]
+
+    def text(toxic):
+        words = rng.choices(plain, k=rng.randint(5, 40))
+        for _ in range(rng.randint(1, 4) if toxic else rng.random() < 0.1):
+            w = rng.choice(bad)
+            if rng.random() < 0.3:
+                at = rng.randrange(len(w))
+                w = w[:at] + rng.choice("xyz") + w[at + 1 :]
+            words.insert(rng.randrange(len(words)), rng.choice([w, w, f'"{w}"', f"'{w}", f"«{w}", f"{w}».", f"{w}!"]))
+        return " ".join(words)
+
+    docs = [(i, text(i % 3 == 0)) for i in range(400)] + [(900, None), (901, ""), (902, " ")]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(make(docs), labels, lift=5.0)
+    contexts = {(w, p, i % 3 == 0) for i, t in docs if i < 400 for words in [[w.strip(toxicity.PUNCTUATION) for w in t.lower().split()]] for p, w in zip(["", *words], words) if 3 <= len(w) <= 40}
+    good, ill = Counter(w for w, _, y in contexts if not y), Counter(w for w, _, y in contexts if y)
+    total = max(1, sum(ill.values())), max(1, sum(good.values()))
+    listed = lambda b, g: b >= 5 and b / total[0] >= 5.0 * (g + 0.5) / total[1]
+    assert sorted(model.words) == sorted(w for w in ill if listed(ill[w], good[w])) and model.words
+    stems = defaultdict(lambda: [0, 0, 0])
+    for w in {*good, *ill}:
+        for k in range(4, min(8, len(w)) + 1) if len(w) >= 4 else ():
+            stems[w[:k]] = [a + b for a, b in zip(stems[w[:k]], (ill[w], good[w], w in ill))]
+    assert sorted(model.stems) == sorted(s for s, (b, g, forms) in stems.items() if forms >= 3 and listed(b, g))
+    got = {r.doc_id: r.score for r in model.score(make(docs)).collect()}
+    want = {i: brute_toxicity(t, model) for i, t in docs}
+    assert [(i, got[i], want[i]) for i in got if abs(got[i] - want[i]) > 1e-9] == []
+
+
+def test_language_models_against_brute_force(make):
+    """Interpolated Kneser-Ney in dictionaries of strings; languages of few rows are learned, too."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(12)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "éfgha"}
+    docs = [(i, " ".join("".join(rng.choices(letters[lang], k=rng.randint(1, 7))) for _ in range(12)), lang) for i, lang in enumerate(["aa", "bb"] * 9 + ["cc"])]
+    docs += [(1000 + i, "zz zzz", f"rare{i:03}") for i in range(300)]
+    model = language_id.fit_languages(make(docs))
+    assert len(model.languages) == 303
+    alphabet = len({c for _, t, _ in docs for c in t if c != " "}) + 2
+
+    def learned(lang):
+        words = Counter(w for _, t, x in docs if x == lang for w in t.split())
+        tables = []
+        for n in range(1, 6):
+            raw, before = Counter(), defaultdict(set)
+            for w, c in words.items():
+                full = "^" + w + "$"
+                for e in range(max(1, n - 1), len(full)):
+                    g = full[e - n + 1 : e + 1]
+                    if n == 5 or e - n + 1 == 0:
+                        raw[g] += c
+                    else:
+                        before[g].add(full[e - n])
+            number = {g: raw[g] + len(before[g]) for g in {*raw, *before}}
+            ones, twos = (sum(v == k for v in number.values()) for k in (1, 2))
+            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            mass, types = Counter(), Counter()
+            for g, v in number.items():
+                mass[g[:-1]] += v
+                types[g[:-1]] += 1
+            tables.append((number, d, mass, types))
+        return tables
+
+    def bits(word, tables):
+        full, out = "^" + word + "$", 0.0
+        for e in range(1, len(full)):
+            p = 1 / alphabet
+            for n, (number, d, mass, types) in enumerate(tables, 1):
+                if e - n + 1 < 0:
+                    continue
+                g = full[e - n + 1 : e + 1]
+                if mass[g[:-1]]:
+                    p = max(number.get(g, 0) - d, 0) / mass[g[:-1]] + min(1.0, d * types[g[:-1]] / mass[g[:-1]]) * p
+            out += math.log2(p)
+        return out
+
+    tables = {lang: learned(lang) for lang in ("aa", "bb", "cc")}
+    asked = [w for _, t, _ in docs[:19] for w in t.split()] + ["ace", "fgé", "q"]
+    got = model.word_scores(asked)
+    for lang, t in tables.items():
+        want = [bits(w, t) for w in asked]
+        assert np.allclose(got[:, model.languages.index(lang)], want, rtol=1e-4), lang
+    rows = [(9000 + i, " ".join(rng.choices(asked[:-1], k=6))) for i in range(50)] + [(9100, None), (9101, "1 2")]
+    entropy = {i: {lang: -sum(bits(w, t) for w in x.split()) for lang, t in tables.items()} for i, x in rows[:50]}
+    for r in language_id.predict(make(rows), model).collect():
+        if r.doc_id < 9100:
+            best = min(entropy[r.doc_id], key=lambda x: (entropy[r.doc_id][x], x))
+            assert r.lang_pred == best
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_placement_query_against_a_loop(spark, sf):
+    """The table filled turn by turn with a set of taken slots, and every document looked up in it."""
+    import xxhash
+
+    size, claimed = sharding.TABLE_SIZE, {}
+
+    def order(name):
+        offset, step = xxhash.xxh64_intdigest(name, 1), xxhash.xxh64_intdigest(name, 2) % (size - 1) + 1
+        return ((offset + j * step) % size for j in range(size))
+
+    preferences = {s: order(s) for s in SHARDS}
+    while len(claimed) < size:
+        for s in SHARDS:
+            if len(claimed) < size:
+                claimed[next(x for x in preferences[s] if x not in claimed)] = s
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted((i, zlib.crc32(str(i).encode()) % size, claimed[zlib.crc32(str(i).encode()) % size]) for i in ids)
+    assert sorted(map(tuple, QUERIES["op6_sharding"](spark, sf).collect())) == want
+
+
+def test_placement_odd_keys(spark):
+    keys = spark.createDataFrame([("",), (None,), ("null",), ("x" * 100_000,), ("",)], "slot string")
+    got = sharding.place(keys, SHARDS, "slot").collect()
+    assert [c for c in got[0].asDict()] == ["key", "slot", "shard"]
+    assert got[0] == got[4] and got[1].shard == got[2].shard
+    assert sharding.place(keys.limit(0), SHARDS, "slot").collect() == []
+
+
 def test_toxicity_query_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
