@@ -97,10 +97,11 @@ def contamination(
         nowhere = F.array().cast("array<int>")
         if small:
             listed = lambda x: x.isin(chosen[n])
-            kept = let(F.filter(winnowed(hashes, n - kk + 1), listed), lambda got: _places_of(hashes, got))
-            return F.when(F.exists(hashes, listed), kept).otherwise(nowhere)
+            shared = F.when(F.exists(hashes, listed), F.exists(winnowed(hashes, n - kk + 1), listed)).otherwise(F.lit(False))
+            # the set is asked again for the places, in constant time each: more places than the winnowed ones do no harm
+            return F.when(shared, F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda p: listed(F.element_at(hashes, p)))).otherwise(nowhere)
         got = F.col("wanted")[n]
-        return F.when(got.isNotNull(), _places_of(hashes, got)).otherwise(nowhere)
+        return F.when(got.isNotNull(), F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda p: F.array_contains(got, F.element_at(hashes, p)))).otherwise(nowhere)
 
     def row(words: Column) -> Column:
         found = F.array().cast("array<struct<start:bigint,n:int,window:string>>")
@@ -141,12 +142,6 @@ def contamination(
     )
 
 
-def _places_of(hashes: Column, wanted: Column) -> Column:
-    """The places of the wanted hashes, by a map of them: linear, however many a text shares."""
-    of = F.map_from_arrays(F.array_distinct(wanted), F.array_distinct(wanted))
-    return let(of, lambda m: F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda p: F.map_contains_key(m, F.element_at(hashes, p))))
-
-
 def _join_prints(base: DataFrame, known: dict[int, DataFrame], counts: dict[int, int], k: int) -> DataFrame:
     """``base`` with ``wanted``: for each window length, the row's fingerprints that the benchmark has, found by a shuffled join."""
     words = words_of(F.col("text"))
