@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import folds
+from corpusmill.operators.store import stored
 
-def ema(values: Column, keep: float) -> Column:
-    """An exponential mean of an ordered array; a mean of zero starts over."""
-    return F.aggregate(values, F.lit(0.0), lambda a, x: F.when(a != 0, a * keep + x * (1 - keep)).otherwise(x))
+
+def means(log: DataFrame, key: str, order: str, value: str, keep: float) -> DataFrame:
+    """``key`` and ``state``, the exponential mean of each key's values in order; the first that is not zero starts it (none is negative)."""
+    same, step, put = folds.affine()
+    firsts = log.where(F.col(value) != 0).groupBy(key).agg(F.min(order).alias("_first"))
+    rows = log.join(firsts, key).where(F.col(order) >= F.col("_first"))
+    first = F.col(order) == F.col("_first")
+    moves = rows.select(key, order, F.when(first, 0.0).otherwise(keep).alias("a"), (F.col(value) * F.when(first, 1.0).otherwise(1 - keep)).cast("double").alias("b"))
+    return folds.folded(moves, key, order, ["a", "b"], same, lambda f, e: step(f, e["a"], e["b"]), put, F.lit(0.0))
 
 
 def surprise_value(mean: Column) -> Column:
@@ -19,15 +27,10 @@ def surprise_value(mean: Column) -> Column:
 def source_health(log: DataFrame) -> DataFrame:
     """source, tries, ok, latency, value, score of visits (source, seq, ok, learned, new_terms, latency, surprise)."""
     gain, novelty = F.least(F.col("learned"), F.lit(400)) / 100, F.least(F.col("new_terms"), F.lit(2000)) / 200
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("x")))), lambda s: s["x"])
-    rows = log.groupBy("source").agg(
-        F.count(F.lit(1)).alias("tries"),
-        F.sum(F.col("ok").cast("int")).alias("ok"),
-        F.sum(gain).alias("gain"),
-        F.sum(novelty).alias("novelty"),
-        ema(ordered("latency"), 0.8).alias("latency"),
-        ema(ordered("surprise"), 0.8).alias("surprise"),
-    )
+    rows = log.groupBy("source").agg(F.count(F.lit(1)).alias("tries"), F.sum(F.col("ok").cast("int")).alias("ok"), F.sum(gain).alias("gain"), F.sum(novelty).alias("novelty"))
+    for c in ("latency", "surprise"):
+        rows = rows.join(means(log.select("source", "seq", c), "source", "seq", c, 0.8).withColumnRenamed("state", c), "source", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("latency", "surprise")})
     value = surprise_value(F.col("surprise"))
     score = (F.col("ok") + 1) / (F.col("tries") + 2) * (F.col("gain") / F.col("tries") + F.col("novelty") / F.col("tries") + 0.5) * (0.5 + value)
     return rows.select("source", "tries", "ok", F.round("latency", 6).alias("latency"), value.alias("value"), F.round(score, 6).alias("score"))
@@ -49,8 +52,9 @@ def adaptive_interval(gain: Column, base: float, partition: list[str], order: st
 
 def interests(log: DataFrame) -> DataFrame:
     """topic and interest: min(5, old * 0.9 + weight), folded in order."""
-    lists = log.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("seq", "weight"))).alias("e"))
-    return lists.select("topic", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: F.least(F.lit(5.0), a * 0.9 + x["weight"])), 6).alias("interest"))
+    same, step, put = folds.affine(5.0)
+    state = folds.folded(log, "topic", "seq", ["weight"], same, lambda f, e: step(f, 0.9, e["weight"]), put, F.lit(0.0))
+    return state.select("topic", F.round("state", 6).alias("interest"))
 
 
 def frontier(links: DataFrame, seen: DataFrame, most: int = 500, depth: int = 3) -> DataFrame:
@@ -60,6 +64,17 @@ def frontier(links: DataFrame, seen: DataFrame, most: int = 500, depth: int = 3)
     return rows.orderBy(F.desc("priority"), "seq").limit(most)
 
 
+def walked(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
+    """node and depth: what links (a, b) reach from ``start`` (node) in some steps; each step's new nodes are written once."""
+    now = start.withColumn("depth", F.lit(0).cast("long"))
+    seen = now
+    for depth in range(1, steps + 1):
+        found = edges.join(now.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        now = stored(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")), "frontier")
+        seen = seen.unionByName(now)
+    return seen
+
+
 def trend(value: Column, order: str, partition: list[str], span: int = 10) -> dict[str, Column]:
     """Means of the last ``span`` values and of those before, and whether the former is no better."""
     w = Window.partitionBy(*partition).orderBy(order)
@@ -80,12 +95,6 @@ def weighted_choice(rows: DataFrame, key: str, weight: Column, n: int, seed: str
     return rows.withColumn("_k", F.round(-F.log(uniform) / weight, 9)).orderBy("_k", key).limit(n).drop("_k")
 
 
-def at_share(values: Column, share: float) -> Column:
-    """The value at floor(n * share) of the sorted values."""
-    n = F.size(values)
-    return F.element_at(F.array_sort(values), F.least(n, F.floor(n * share).cast("int") + 1))
-
-
 def warmup_schedule(step: Column, warm: int, peak: float, total: int, least: float, cosine: bool) -> Column:
     """Learning rate: linear at first, then constant or a cosine to ``least`` of the peak."""
     done = F.least(F.lit(1.0), (step - warm) / max(1, total - warm))

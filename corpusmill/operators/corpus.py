@@ -22,8 +22,9 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds ``seq``, the order in which sentences arrive."""
-    return rows.withColumn("seq", F.col("doc_id") * PER_DOCUMENT + F.col("pos"))
+    """Adds ``seq``, the order in which sentences arrive; a document of more sentences than have room is an error."""
+    fits = F.when(F.col("pos") < PER_DOCUMENT, F.col("pos")).otherwise(F.raise_error(F.lit(f"a document has more than {PER_DOCUMENT} sentences")).cast("long"))
+    return rows.withColumn("seq", F.col("doc_id") * PER_DOCUMENT + fits)
 
 
 def first_wins(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -36,17 +37,22 @@ def first_wins(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
     return rows.join(firsts, key, "left")
 
 
-def running_sum(rows: DataFrame, block: Column, order: list[Column | str], value: Column, out: str) -> DataFrame:
+def running_sum(rows: DataFrame, block: Column, order: list[Column | str], value: Column, out: str, level: int = 0) -> DataFrame:
     """Adds the sum of ``value`` up to each row, in order of ``block`` and then ``order``.
 
-    The sum runs within blocks and, in a table of one row for each block, over blocks.
+    The sum runs within blocks and over the sums of blocks; those are summed likewise, in blocks of ``BLOCK``, so that the
+    one task at the top has a row for each ``BLOCK`` blocks.
     """
-    rows = rows.withColumn("_block", block).withColumn("_value", value)
-    sums = rows.groupBy("_block").agg(F.sum("_value").alias("_sum"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    within = rows.withColumn("_within", F.sum("_value").over(Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return within.join(sums, "_block").withColumn(out, F.col("_before") + F.col("_within")).drop("_block", "_value", "_before", "_within")
+    name, own, before = f"_block{level}", f"_value{level}", f"_before{level}"
+    rows = rows.withColumn(name, block).withColumn(own, value)
+    sums = rows.groupBy(name).agg(F.sum(own).alias("_sum"))
+    if level:
+        earlier = F.sum("_sum").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.select(name, F.coalesce(earlier, F.lit(0)).alias(before))
+    else:
+        sums = running_sum(sums, F.floor(F.col(name) / BLOCK), [name], F.col("_sum"), "_upto", level + 1).select(name, (F.col("_upto") - F.col("_sum")).alias(before))
+    within = rows.withColumn("_within", F.sum(own).over(Window.partitionBy(name).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return within.join(sums, name).withColumn(out, F.col(before) + F.col("_within")).drop(name, own, before, "_within")
 
 
 def admit(rows: DataFrame, admission: float = 0.0) -> DataFrame:
@@ -109,7 +115,7 @@ def newest_within(rows: DataFrame, size: Column, budget: int, order: str = "seq"
 
 
 def round_robin(rows: DataFrame, group: str, rank: list[Column], limit: int) -> DataFrame:
-    """``limit`` rows, taken in turn from each group's best; only each group's first ``limit`` are sorted together."""
+    """``limit`` rows, taken in turn from each group's best; each task keeps a group's first ``limit`` before the exchange."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*rank))
     return rows.withColumn("turn", turn).where(F.col("turn") <= limit).orderBy("turn", group).limit(limit)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
+from corpusmill.operators.store import stored
 
 USERS, BOTS = ("human", "user", "prompter"), ("gpt", "assistant", "bot")
 
@@ -97,9 +98,13 @@ def quote_pairs(docs: DataFrame, gap: int = 40, most: int = 200) -> DataFrame:
 
 
 def capped(rows: DataFrame, kind: str, order: list[Column | str], caps: dict[str, int], most: int) -> DataFrame:
-    """The newest rows of each kind, as many as its cap allows."""
+    """The newest rows of each kind, as many as its cap allows.
+
+    The largest cap is a constant bound on ranks, so each task keeps no more of a kind before the exchange.
+    """
+    largest = max([most, *caps.values()])
     cap = F.coalesce(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(kind)], F.lit(most))
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("_k") <= cap).drop("_k")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("_k") <= largest).where(F.col("_k") <= cap).drop("_k")
 
 
 def token_weights(length: Column, loss_from: Column, weight: Column) -> Column:
@@ -113,3 +118,24 @@ def banned_next(ids: Column, size: int) -> Column:
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids) - size + 1, F.lit(1))), lambda i: F.slice(ids, i, size - 1) == tail)
     found = F.transform(places, lambda i: F.try_element_at(ids, (i + size - 1).cast("int")))
     return F.when(F.size(ids) >= size, F.array_sort(F.array_distinct(found))).otherwise(F.slice(ids, 1, 0))
+
+
+def values_at(rows: DataFrame, group: str, value: str, shares: dict[str, float], parts: int = 256) -> DataFrame:
+    """For each group the value at floor(n * share) of its sorted values, and the greatest as ``most``; exact.
+
+    Approximate quantiles cut a group's values into parts, whose sizes are counted; only the parts that hold a wanted
+    rank are sorted, each in a task of its own, so a hot group never meets in one.
+    """
+    rows = stored(rows.select(group, F.col(value).alias("v")), "values")
+    cuts = rows.groupBy(group).agg(F.approx_percentile("v", [i / parts for i in range(1, parts)], 4096).alias("cuts"), F.count(F.lit(1)).alias("n"), F.max("v").alias("most"))
+    cut = rows.join(F.broadcast(cuts.select(group, F.array_distinct("cuts").alias("cuts"))) if cuts.count() <= 10_000 else cuts.select(group, F.array_distinct("cuts").alias("cuts")), group)
+    cut = cut.select(group, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+    sizes = cut.groupBy(group, "part").agg(F.count(F.lit(1)).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy(group).orderBy("part"))  # at most ``parts`` rows a group
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * x)).alias("rank")) for name, x in shares.items()])
+    asked = cuts.select(group, "most", F.explode(ranks).alias("r")).select(group, "most", "r.name", "r.rank")
+    held = sizes.withColumn("first", upto - F.col("size")).join(asked, group).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("size")))
+    place = F.row_number().over(Window.partitionBy(group, "part").orderBy("v")) - 1
+    found = cut.join(held.select(group, "part").distinct(), [group, "part"]).withColumn("place", place).join(held, [group, "part"]).where(F.col("place") == F.col("rank") - F.col("first"))
+    wide = found.groupBy(group).agg(F.max("most").alias("most"), *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    return wide.select(group, *[F.round(name, 6).alias(name) for name in shares], F.round("most", 6).alias("most"))

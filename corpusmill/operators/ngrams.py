@@ -45,6 +45,37 @@ def _at(ids: Column, n: int) -> Callable[[Column], Column]:
     return lambda i: _event(ids, i, n)
 
 
+def corpus_counts(rows: DataFrame, orders: int = 3) -> DataFrame:
+    """n, ctx, tok, c of all ``rows``, as :func:`counts` of their events.
+
+    Only the highest order's events are exchanged: dropping the first token of their contexts gives all events of the
+    next order but a text's first one, which is made directly. So each lower order is added up from counts.
+    """
+
+    def of(ids: Column) -> Column:
+        out = []
+        for n in range(orders):
+            some = F.size(ids) - 1 >= (n + 1 if n else 1)
+            longer = F.size(ids) - 1 >= n + 2 if n + 1 < orders else F.lit(False)
+            last = F.when(longer, n).otherwise(F.size(ids) - 1)  # of an order that a longer one gives, the first event only
+            made = F.transform(F.sequence(F.lit(max(n, 1)), F.greatest(last, F.lit(max(n, 1)))), _at(ids, n))
+            out.append(F.when(some if n else some & ~longer, made).otherwise(F.array().cast("array<struct<n:int,ctx:string,tok:string>>")))
+        return F.concat(*out)
+
+    ids = sequence_of(T.all_matches(F.lower("text"), K.WORD))
+    made = counts(rows.select(F.explode_outer(T.let(ids, of)).alias("e")).where("e is not null").select("e.n", "e.ctx", "e.tok"))
+    made = stored(made, "ngram-events")
+    whole, above = None, None
+    for n in reversed(range(orders)):
+        own = made.where(F.col("n") == n)
+        if above is not None:
+            context = F.substring_index("ctx", " ", -n) if n else F.lit("")
+            own = own.unionByName(above.select(F.lit(n).alias("n"), context.alias("ctx"), "tok", "c")).groupBy("n", "ctx", "tok").agg(F.sum("c").alias("c"))
+        above = own
+        whole = own if whole is None else whole.unionByName(own)
+    return whole
+
+
 def counts(made: DataFrame) -> DataFrame:
     return made.groupBy("n", "ctx", "tok").agg(F.count(F.lit(1)).alias("c"))
 

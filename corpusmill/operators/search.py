@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
+from corpusmill.operators import folds
 from corpusmill.operators.store import stored
 
 
+#: Postings of the rarest terms that give a query's first hits, for each hit that is wanted.
+SEEDS = 400
+#: The factor of the best quality.
+MOST_QUALITY = 1.15
+
+
 def query_terms(queries: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """id, term, qw (how often the query says it, two at most, or the weight of an extra term), tw, own, total_w."""
     said = queries.select("id", F.explode_outer(T.terms("text")).alias("term")).where("term is not null").groupBy("id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("double").alias("qw"))
@@ -25,7 +32,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, extra: DataFrame | Non
     """id, seq, score, cover, rank: the ``k`` best of ``docs`` (seq, text, quality) for each query (id, text).
 
     Only postings of terms that some query has are counted and shuffled. Terms in more than a fifth of the sentences
-    count only where a query has no other.
+    count only where a query has no other. Hits are exact: a sentence is left out only if all its terms together cannot
+    reach the score of the ``k``-th of the sentences that hold the query's rarest terms.
     """
     asked = stored(query_terms(queries, extra), "query-terms")
     bags = stored(docs.select("seq", "quality", T.terms("text").alias("t")).where(F.size("t") > 0), "bags")
@@ -41,12 +49,30 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, extra: DataFrame | Non
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     long = (F.length("term") >= 3) | ((F.length("term") == 2) & ~F.col("term").rlike(r"^[\x{3040}-\x{30FF}]{2}$"))
     known = known.withColumn("w", idf * F.col("tw") * F.when(long, phrase_bonus).otherwise(1.0) * F.col("qw"))
+    known = stored(known.select("id", "term", "w", "tw", "own", "total_w", "df", "avgdl"), "known-terms")
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = known.join(posted, "term").groupBy("id", "seq", "quality", "total_w").agg(F.sum(F.col("w") * saturated).alias("s"), F.sum(F.when(F.col("own"), F.col("tw")).otherwise(0.0)).alias("c"))
-    cover = F.col("c") / F.when(F.col("total_w") > 0, F.col("total_w")).otherwise(1.0)
-    scored = scored.withColumn("cover", F.round(cover, 6)).withColumn("score", F.round(F.col("s") * (0.5 + cover) * (0.85 + 0.3 * F.col("quality")), 6))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "seq")))
-    return ranked.where(F.col("rank") <= k).select("id", "seq", "score", "cover", F.col("rank").cast("long").alias("rank"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """The scores of (id, seq), by all known terms."""
+        each = pairs.join(posted, "seq").join(known, ["id", "term"])
+        sums = each.groupBy("id", "seq", "quality", "total_w").agg(F.sum(F.col("w") * saturated).alias("s"), F.sum(F.when(F.col("own"), F.col("tw")).otherwise(0.0)).alias("c"))
+        cover = F.col("c") / F.when(F.col("total_w") > 0, F.col("total_w")).otherwise(1.0)
+        sums = sums.withColumn("cover", F.round(cover, 6)).withColumn("score", F.round(F.col("s") * (0.5 + cover) * (0.85 + 0.3 * F.col("quality")), 6))
+        ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "seq")))
+        return ranked.where(F.col("rank") <= k).select("id", "seq", "score", "cover", F.col("rank").cast("long").alias("rank"))
+
+    def pairs_of(terms: DataFrame) -> DataFrame:
+        return terms.select("id", "term").join(posted.select("term", "seq"), "term").select("id", "seq").distinct()
+
+    # the k best of the sentences with a query's rarest terms give a score that hits must reach
+    before = F.sum("df").over(Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    first = scored(pairs_of(known.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SEEDS * k)))
+    least = first.where(F.col("rank") == k).select("id", F.col("score").alias("least"))
+    # a query's lightest terms that together cannot reach it: sentences that have no other term are not scored
+    lighter = Window.partitionBy("id").orderBy("w", "term").rowsBetween(Window.unboundedPreceding, 0)
+    most = (k1 + 1) * F.sum("w").over(lighter) * (0.5 + F.sum(F.when(F.col("own"), F.col("tw")).otherwise(0.0)).over(lighter) / F.when(F.col("total_w") > 0, F.col("total_w")).otherwise(1.0)) * MOST_QUALITY
+    needed = known.withColumn("most", most).join(least, "id", "left").where(F.col("least").isNull() | (F.col("most") + 1e-4 >= F.col("least")))
+    return scored(pairs_of(needed))
 
 
 def gram_search(docs: DataFrame, queries: DataFrame, k: int = 3, k1: float = K.K1, b: float = K.B) -> DataFrame:
@@ -115,8 +141,9 @@ def retrieval_quality(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def clamped(deltas: DataFrame, key: str, order: str, delta: str, low: float, high: float) -> DataFrame:
     """key and score: a running score that never leaves [low, high], folded over each key's events in order."""
-    lists = deltas.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("d"))
-    return lists.select(key, F.round(F.aggregate("d", F.lit(0.0), lambda a, x: F.greatest(F.lit(low), F.least(F.lit(high), a + x[delta]))), 6).alias("score"))
+    same, step, put = folds.clamps()
+    moved = folds.folded(deltas.withColumn(delta, F.col(delta).cast("double")), key, order, [delta], same, lambda f, e: step(f, e[delta], F.lit(low), F.lit(high)), put, F.lit(0.0))
+    return moved.select(key, F.round("state", 6).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

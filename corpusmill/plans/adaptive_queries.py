@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import adaptive
 from corpusmill.plans import golden
+from corpusmill.operators.store import stored
 from corpusmill.plans.registry import query, table
 
 LOG = "SELECT event_type AS source, event_id AS seq, value >= 20 AS ok, round(value, 2) AS learned, round(value * 3, 2) AS new_terms, round(value / 10, 4) AS latency, round(value / 20, 4) AS surprise FROM events WHERE value IS NOT NULL"
@@ -104,16 +105,16 @@ def training_log(spark, sf):
     return rows.select("step", kind.alias("kind"), F.coalesce(number(_STEP, 2), number(_GROWN, 1), number(_GROWN, 2), number(_GROWN, 3)).alias("value"))
 
 
-@query("WITH RECURSIVE walk AS (SELECT 0 AS depth, CAST(0 AS BIGINT) AS node UNION SELECT depth + 1, b FROM walk JOIN (SELECT c_custkey % 100 AS a, (c_custkey * 7 + 3) % 100 AS b FROM customer) e ON e.a = node WHERE depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1")
+@query(
+    """WITH RECURSIVE size AS (SELECT max(page_id) + 1 AS n FROM pages), edges AS (SELECT page_id AS a, unnest([(page_id * 7 + 3) % n, (page_id * 11 + 5) % n, (page_id * 13 + 8) % n]) AS b FROM pages, size),
+walk AS (SELECT 0 AS depth, CAST(0 AS BIGINT) AS node UNION SELECT depth + 1, b FROM walk JOIN edges e ON e.a = node WHERE depth < 6) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1"""
+)
 def crawl_frontier(spark, sf):
-    """Breadth-first over links, three steps: each step's new nodes are those not seen."""
-    edges = table(spark, sf, "customer").select((F.col("c_custkey") % 100).alias("a"), ((F.col("c_custkey") * 7 + 3) % 100).alias("b")).distinct()
-    seen = spark.sql("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth")
-    now = seen
-    for depth in (1, 2, 3):
-        now = edges.join(now, edges["a"] == now["node"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        seen = seen.unionByName(now)
-    return seen
+    """Breadth-first over the links among all pages, six steps: each step's new nodes are those not seen."""
+    pages = table(spark, sf, "pages").select("page_id")
+    n = F.lit(pages.agg((F.max("page_id") + 1).alias("n")).first().n)
+    edges = stored(pages.select(F.col("page_id").alias("a"), F.explode(F.array(*[(F.col("page_id") * x + y) % n for x, y in ((7, 3), (11, 5), (13, 8))])).alias("b")), "links")
+    return adaptive.walked(edges, spark.sql("SELECT CAST(0 AS BIGINT) AS node"), 6)
 
 
 @query("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, CAST(count(*) AS BIGINT) AS pages, CAST(sum(CASE WHEN regexp_matches(url, '[?#]') THEN 1 ELSE 0 END) AS BIGINT) AS with_query FROM pages GROUP BY 1")

@@ -172,7 +172,7 @@ cont AS (SELECT tok, count(*) AS cont FROM counts WHERE n = 1 GROUP BY 1)"""
 
 def counted(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.holdout(numbered(spark, sf)).where("NOT held_out")
-    return ngrams.counts(ngrams.events(rows))
+    return ngrams.corpus_counts(rows)
 
 
 @query(f"WITH {EVENTS} SELECT CAST(n AS BIGINT) AS n, ctx, tok, c FROM counts")
@@ -208,7 +208,7 @@ p2 AS (SELECT p1.* EXCLUDE (p), CASE WHEN h.total IS NULL THEN p ELSE greatest(c
 
 def held_probabilities(spark: SparkSession, sf: str, orders: int = 3, discount: float = K.DISCOUNT) -> DataFrame:
     rows = stored(corpus.holdout(numbered(spark, sf)), "holdout")
-    made = ngrams.counts(ngrams.events(rows.where("NOT held_out"), orders))
+    made = ngrams.corpus_counts(rows.where("NOT held_out"), orders)
     return ngrams.probabilities(ngrams.asked(rows.where("held_out"), ["seq"]), made, orders, discount)
 
 

@@ -117,12 +117,9 @@ def reply_grounding(spark, sf):
 
 @query("WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, round(v[CAST(floor(len(v) * 0.5) AS INT) + 1], 6) AS p50, round(v[least(len(v), CAST(floor(len(v) * 0.95) AS INT) + 1)], 6) AS p95, round(v[-1], 6) AS most FROM s")
 def latency_percentiles(spark, sf):
-    """The value at floor(n p) of the sorted values, by type: ranks, so that no group is gathered into one row."""
-    w = Window.partitionBy("event_type").orderBy("value")
-    rows = table(spark, sf, "events").where("value is not null").select("event_type", "value", (F.row_number().over(w) - 1).alias("r"))
-    sized = rows.join(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "event_type")
-    at = lambda p: F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("value")))
-    return sized.groupBy("event_type").agg(F.round(at(0.5), 6).alias("p50"), F.round(at(0.95), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"))
+    """The value at floor(n p) of the sorted values, by type."""
+    rows = table(spark, sf, "events").where("value is not null").select("event_type", "value")
+    return dialogs.values_at(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT conv_id, turn, array_to_string(list_transform(range(0, least(length(text), 12)), lambda i: CASE WHEN i < greatest(turn - 1, 0) THEN 0.2 ELSE 1.0 END), ',') AS weights FROM conversations WHERE length(text) > 0")

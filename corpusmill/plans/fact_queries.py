@@ -153,16 +153,23 @@ top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS summary FROM top GROUP BY 1"""
 )
 def extractive_summary(spark, sf):
-    """The three sentences of each document whose phrases recur most, in their order."""
-    rows = corpus.sentences(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    """The three sentences of each document whose phrases recur most, in their order.
+
+    Documents are dealt out by their id once, so that all that follows counts within a partition.
+    """
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    rows = corpus.sentences(docs.repartition("doc_id"))
     rows = rows.select("doc_id", "pos", "text", F.array_distinct(F.filter(T.terms("text"), T.is_phrase)).alias("p"))
-    each = rows.select("doc_id", F.explode("p").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("f"))
-    said = rows.select("doc_id", "pos", F.explode("p").alias("t")).join(each, ["doc_id", "t"]).groupBy("doc_id", "pos").agg(F.sum("f").alias("f"))
-    size = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    scored = rows.join(said, ["doc_id", "pos"], "left").join(size, "doc_id")
-    score = F.coalesce("f", F.lit(0)) / (F.size("p") + 2) * (1 + 0.5 * (1 - F.col("pos") / F.col("n"))) * F.when(F.length("text").between(20, 200), 1.2).otherwise(1.0)
-    ranked = scored.withColumn("score", F.round(score, 6)).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("pos")))).where("k <= 3")
-    return ranked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("summary"))
+    # a sentence without phrases stays, with a term that counts nothing
+    each = rows.select("doc_id", "pos", F.explode_outer("p").alias("t"), F.length("text").alias("length"), F.size("p").alias("size"))
+    often = F.count("t").over(Window.partitionBy("doc_id", "t"))
+    said = each.withColumn("f", F.when(F.col("t").isNotNull(), often).otherwise(0)).groupBy("doc_id", "pos", "length", "size").agg(F.sum("f").alias("f"))
+    said = said.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    score = F.col("f") / (F.col("size") + 2) * (1 + 0.5 * (1 - F.col("pos") / F.col("n"))) * F.when(F.col("length").between(20, 200), 1.2).otherwise(1.0)
+    best = said.withColumn("score", F.round(score, 6)).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("pos")))).where("k <= 3")
+    chosen = best.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    whole = docs.select("doc_id", T.split_sentences("text").alias("s")).join(chosen, "doc_id")
+    return whole.select("doc_id", F.array_join(F.transform("at", lambda i: F.element_at("s", i.cast("int") + 1)), " ").alias("summary"))
 
 
 _MERGE = f"""{FACTS}, judged AS (SELECT seq, text, round({duck.quality('text')}, 9) AS quality, list_distinct({duck.terms('text')}) AS t FROM numbered),

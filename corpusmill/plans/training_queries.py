@@ -116,7 +116,7 @@ def generate(spark, sf):
 def evolution(spark, sf):
     """Three generations of search for the discount under which held-out word pairs are likeliest."""
     rows = stored(corpus.holdout(numbered(spark, sf)), "holdout")
-    made = stored(ngrams.counts(ngrams.events(rows.where("NOT held_out"), 2)), "counts")
+    made = stored(ngrams.corpus_counts(rows.where("NOT held_out"), 2), "counts")
     heads = ngrams.contexts(made.where("n = 1")).select("ctx", "total", "types")
     single = made.where("n = 0").select("tok", F.col("c").alias("c0"))
     asked_ = ngrams.counts(ngrams.events(rows.where("held_out"), 2)).where("n = 1").select("ctx", "tok", F.col("c").alias("m"))
