@@ -12,7 +12,9 @@ from corpusmill.operators.store import stored
 
 
 #: Postings of the rarest terms that give a query's first hits, for each hit that is wanted.
-SEEDS = 400
+SEEDS = 100
+#: Scores are rounded, and sums of floating numbers depend on their order.
+MARGIN = 1e-4
 #: The factor of the best quality.
 MOST_QUALITY = 1.15
 
@@ -52,27 +54,35 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, extra: DataFrame | Non
     known = stored(known.select("id", "term", "w", "tw", "own", "total_w", "df", "avgdl"), "known-terms")
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        """The scores of (id, seq), by all known terms."""
-        each = pairs.join(posted, "seq").join(known, ["id", "term"])
-        sums = each.groupBy("id", "seq", "quality", "total_w").agg(F.sum(F.col("w") * saturated).alias("s"), F.sum(F.when(F.col("own"), F.col("tw")).otherwise(0.0)).alias("c"))
-        cover = F.col("c") / F.when(F.col("total_w") > 0, F.col("total_w")).otherwise(1.0)
-        sums = sums.withColumn("cover", F.round(cover, 6)).withColumn("score", F.round(F.col("s") * (0.5 + cover) * (0.85 + 0.3 * F.col("quality")), 6))
+    own_weight = F.when(F.col("own"), F.col("tw")).otherwise(0.0)
+    whole = F.when(F.col("total_w") > 0, F.col("total_w")).otherwise(1.0)
+    by_quality = 0.85 + 0.3 * F.col("quality")
+
+    def sums_of(each: DataFrame) -> DataFrame:
+        return each.groupBy("id", "seq", "quality", "total_w").agg(F.sum(F.col("w") * saturated).alias("s"), F.sum(own_weight).alias("c"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """The ``k`` best of (id, seq), by all known terms."""
+        sums = sums_of(pairs.join(posted, "seq").join(known, ["id", "term"]))
+        sums = sums.withColumn("cover", F.round(F.col("c") / whole, 6)).withColumn("score", F.round(F.col("s") * (0.5 + F.col("c") / whole) * by_quality, 6))
         ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "seq")))
         return ranked.where(F.col("rank") <= k).select("id", "seq", "score", "cover", F.col("rank").cast("long").alias("rank"))
 
-    def pairs_of(terms: DataFrame) -> DataFrame:
-        return terms.select("id", "term").join(posted.select("term", "seq"), "term").select("id", "seq").distinct()
-
     # the k best of the sentences with a query's rarest terms give a score that hits must reach
     before = F.sum("df").over(Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
-    first = scored(pairs_of(known.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SEEDS * k)))
-    least = first.where(F.col("rank") == k).select("id", F.col("score").alias("least"))
+    rarest = known.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SEEDS * k)
+    first = best(rarest.select("id", "term").join(posted.select("term", "seq"), "term").select("id", "seq").distinct())
+    least = stored(first.where(F.col("rank") == k).select("id", F.col("score").alias("least")), "least-scores")
     # a query's lightest terms that together cannot reach it: sentences that have no other term are not scored
     lighter = Window.partitionBy("id").orderBy("w", "term").rowsBetween(Window.unboundedPreceding, 0)
-    most = (k1 + 1) * F.sum("w").over(lighter) * (0.5 + F.sum(F.when(F.col("own"), F.col("tw")).otherwise(0.0)).over(lighter) / F.when(F.col("total_w") > 0, F.col("total_w")).otherwise(1.0)) * MOST_QUALITY
-    needed = known.withColumn("most", most).join(least, "id", "left").where(F.col("least").isNull() | (F.col("most") + 1e-4 >= F.col("least")))
-    return scored(pairs_of(needed))
+    most = (k1 + 1) * F.sum("w").over(lighter) * (0.5 + F.sum(own_weight).over(lighter) / whole) * MOST_QUALITY
+    parted = known.withColumn("most", most).join(least, "id", "left").withColumn("needed", F.col("least").isNull() | (F.col("most") + MARGIN >= F.col("least")))
+    parted = stored(parted, "parted-terms")
+    rest = parted.groupBy("id").agg(F.max("least").alias("least"), F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("w"))).alias("rest_w"), F.sum(F.when(F.col("needed"), 0.0).otherwise(own_weight)).alias("rest_c"))
+    # nor are those whose other terms fall short even with all the light ones
+    partial = sums_of(parted.where("needed").join(posted, "term")).join(rest, "id")
+    reach = (F.col("s") + (k1 + 1) * F.col("rest_w")) * (0.5 + (F.col("c") + F.col("rest_c")) / whole) * by_quality
+    return best(partial.where(F.col("least").isNull() | (reach + MARGIN >= F.col("least"))).select("id", "seq"))
 
 
 def gram_search(docs: DataFrame, queries: DataFrame, k: int = 3, k1: float = K.K1, b: float = K.B) -> DataFrame:
