@@ -79,8 +79,11 @@ def source_plan(spark, sf):
     return web.source_plan(spark.createDataFrame(_PLAN, "topic string, source string, score double, weight double, found int"))
 
 
-@query()
+@query(
+    """WITH g AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS v, format('{:.6g}', CAST(o_totalprice AS DOUBLE)) AS t FROM orders)
+SELECT o_orderkey, CASE WHEN v = floor(v) THEN format('{:,}', CAST(v AS BIGINT)) ELSE format('{:,}', CAST(split_part(t, '.', 1) AS BIGINT)) || CASE WHEN contains(t, '.') THEN '.' || split_part(t, '.', 2) ELSE '' END END AS text FROM g"""
+)
 def number_text(spark, sf):
-    """Prices of orders as text; tests hold the format."""
+    """Prices of orders as text."""
     orders = table(spark, sf, "orders")
     return orders.select("o_orderkey", control.number_text(F.col("o_totalprice").cast("double")).alias("text"))

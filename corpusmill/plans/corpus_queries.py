@@ -71,10 +71,15 @@ def holdout_split(spark, sf):
     return corpus.holdout(numbered(spark, sf)).select("seq", "held_out")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {duck.sentences()}, s AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, text, count(*) OVER (PARTITION BY doc_id) AS n FROM sentences),
+walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, '' AS grown, FALSE AS filled, CAST(0 AS BIGINT) AS span FROM s
+  UNION ALL SELECT s.doc_id, s.k, CASE WHEN filled THEN '' ELSE grown END || text, length(CASE WHEN filled THEN '' ELSE grown END || text) >= 350, span + CASE WHEN filled THEN 1 ELSE 0 END FROM walk JOIN s ON s.doc_id = walk.doc_id AND s.k = walk.k + 1)
+SELECT walk.doc_id, span, grown AS text FROM walk JOIN (SELECT doc_id, max(n) AS n FROM s GROUP BY 1) z ON z.doc_id = walk.doc_id WHERE filled OR (k = n AND length(grown) >= 40)"""
+)
 def span_packing(spark, sf):
-    """A fold over each document's sentences; tests hold it against a loop."""
-    return corpus.spans(sentences(spark, sf))
+    """A fold over each document's sentences."""
+    return corpus.spans(sentences(spark, sf)).withColumn("span", F.col("span").cast("long"))
 
 
 @query(f"WITH {SENTENCES} SELECT seq, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS next_text FROM numbered")
