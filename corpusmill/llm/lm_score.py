@@ -378,7 +378,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     size, n = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     segment_bits = max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
     # partitions grow with the corpus, so a task's share does not
-    by_segment, by_chunk = max(1, (1 << segment_bits) // 2), max(1, n // 2)
+    by_segment, by_chunk = 1 << segment_bits, max(1, n)
     replies = materialize(answer(ask(chunks, segment_bits).repartition(by_segment, "segment")), "lm-replies")
     stats = replies.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     total, distinct = int(stats[0]), int(stats[1])
