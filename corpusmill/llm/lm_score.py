@@ -42,8 +42,8 @@ PROBES = 6
 BASE = 1.5
 LEVELS = 64
 #: Bytes of text for each segment of the key space, and that ask the segments together.
-SEGMENT_BYTES = 4 << 20
-CHUNK = 4 << 20
+SEGMENT_BYTES = 3 << 20
+CHUNK = 3 << 20
 #: Steps of a power of ten in which the lower order's probability is told apart when weights are fitted.
 STEPS = 8
 ROUNDS = 40
@@ -170,6 +170,15 @@ def from_sorted_planes(data: bytes, width: int) -> np.ndarray:
     return np.cumsum(from_planes(data, width), dtype=f"<u{width}")
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, after its length: levels are mostly one."""
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True) if data else b""
+
+
 #: Bytes by which a segment tells its keys apart: all of a token's hash, since its count must be exact, half of other keys.
 WIDTH = {1: 8, 2: 4, 3: 4}
 
@@ -223,6 +232,7 @@ def ask(chunks: DataFrame, segment_bits: int) -> DataFrame:
                         row[2 * o - 2], row[2 * o - 1] = sorted_planes(k, WIDTH[o]), planes(c, 4)
                 columns = list(zip(*rows.values(), strict=True))
                 names = [f"{x}{o}" for o in WIDTH for x in ("keys", "counts")]
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([batch.column("chunk")[i].as_py()] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["segment", "chunk", *names])
 
     return chunks.select("chunk", "texts", "learn").mapInArrow(run, "segment long, chunk long, " + ", ".join(f"keys{o} binary, counts{o} binary" for o in WIDTH))
@@ -246,7 +256,7 @@ def answer(asked: DataFrame) -> DataFrame:
             summed[o] = (distinct.astype(np.uint64), back, np.cumsum(sizes)[:-1], total)
         model = LogFrequencyBloom(entries, bits_per_entry)
         for o, (distinct, back, cuts, total) in summed.items():
-            found[f"levels{o}"] = [x.tobytes() for x in np.split(model.level(distinct, o)[back], cuts)]
+            found[f"levels{o}"] = [squeezed(x.tobytes()) for x in np.split(model.level(distinct, o)[back], cuts)]
             if o == 1:
                 found["exact"] = [planes(np.minimum(x, 0xFFFFFFFF), 4) for x in np.split(total[back], cuts)]
                 stats = int(total.sum()), int((total > 0).sum())
@@ -254,6 +264,7 @@ def answer(asked: DataFrame) -> DataFrame:
         out = {"chunk": pa.array(table.column("chunk").to_pylist() + nothing, pa.int64()), "segment": pa.array(table.column("segment").to_pylist() + nothing, pa.int64())}
         out |= {c: pa.array(found[c] + nothing, pa.binary()) for c in ("exact", "levels1", "levels2", "levels3")}
         out |= {c: pa.array([None] * n + [x], pa.int64()) for c, x in zip(("total", "tokens"), stats, strict=True)}
+        pa.default_memory_pool().release_unused()
         return pa.table(out)
 
     return asked.groupBy("segment").applyInArrow(run, "chunk long, segment long, exact binary, levels1 binary, levels2 binary, levels3 binary, total long, tokens long")
@@ -273,7 +284,7 @@ def histograms(chunk: pa.Table, replies: pa.Table, segment_bits: int) -> pa.Tabl
     bounds, codes, _, keys, where = chunk_keys(texts)
     replies, level, n = replies.sort_by("segment"), {}, len(texts)
     for o, own in keys.items():
-        got = np.frombuffer(b"".join(replies.column(f"levels{o}").to_pylist()), np.uint8)
+        got = np.frombuffer(b"".join(map(unsqueezed, replies.column(f"levels{o}").to_pylist())), np.uint8)
         back = np.unique(short_keys(own, o, segment_bits), return_inverse=True)[1]
         level[o] = got[back]
         if o == 1:
@@ -291,6 +302,7 @@ def histograms(chunk: pa.Table, replies: pa.Table, segment_bits: int) -> pa.Tabl
     lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (own, times)]
     known = np.bincount(doc, (exact > 0)[codes], n).astype(np.int64)
     logs = np.bincount(doc, np.log10(2.0 * exact + 1)[codes], n)
+    pa.default_memory_pool().release_unused()
     return pa.table({"row": rows, "doc_id": ids, "learn": learn, "n_tokens": pa.array(np.diff(bounds), pa.int64()), "n_known": pa.array(known), "logs": pa.array(logs), "combos": lists[0], "times": lists[1]})
 
 
