@@ -42,7 +42,7 @@ PROBES = 6
 BASE = 1.5
 LEVELS = 64
 #: Bytes of text for each segment of the key space, and that ask the segments together.
-SEGMENT_BYTES = 3 << 20
+SEGMENT_BYTES = 4 << 20
 CHUNK = 3 << 20
 #: Steps of a power of ten in which the lower order's probability is told apart when weights are fitted.
 STEPS = 8
@@ -170,6 +170,18 @@ def from_sorted_planes(data: bytes, width: int) -> np.ndarray:
     return np.cumsum(from_planes(data, width), dtype=f"<u{width}")
 
 
+def packed_texts(texts: pa.Array) -> bytes:
+    """A chunk's texts, compressed, so that they are stored and exchanged small."""
+    batch, sink = pa.RecordBatch.from_arrays([texts], ["text"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_texts(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_next_batch().column(0)
+
+
 def squeezed(data: bytes) -> bytes:
     """Compressed, after its length: levels are mostly one."""
     return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
@@ -217,7 +229,7 @@ def ask(chunks: DataFrame, segment_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bounds, codes, _, keys, where = chunk_keys(batch.column("texts")[i].values)
+                bounds, codes, _, keys, where = chunk_keys(unpacked_texts(batch.column("texts")[i].as_py()))
                 learn = np.repeat(batch.column("learn")[i].values.to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
                 rows: dict[int, list] = {}
                 for o, own in keys.items():
@@ -280,7 +292,8 @@ def packed_levels(level1: np.ndarray, context2: np.ndarray, level2: np.ndarray,
 
 def histograms(chunk: pa.Table, replies: pa.Table, segment_bits: int) -> pa.Table:
     """For each text of a chunk: tokens, the known ones, the sum of log10(2 c + 1), and its combinations of levels with their numbers."""
-    rows, ids, texts, learn = (chunk.column(c).combine_chunks().flatten() for c in ("rows", "ids", "texts", "learn"))
+    rows, ids, learn = (chunk.column(c).combine_chunks().flatten() for c in ("rows", "ids", "learn"))
+    texts = unpacked_texts(chunk.column("texts")[0].as_py())
     bounds, codes, _, keys, where = chunk_keys(texts)
     replies, level, n = replies.sort_by("segment"), {}, len(texts)
     for o, own in keys.items():
@@ -381,12 +394,12 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text", CHUNK):
-            whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(c)])) for c in ("row", "doc_id", "text", "learn")]
+            whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(c)])) for c in ("row", "doc_id", "learn")]
             size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            yield pa.RecordBatch.from_arrays([part.column("row")[:1], *whole, pa.array([size], pa.int64())], ["chunk", "rows", "ids", "texts", "learn", "size"])
+            yield pa.RecordBatch.from_arrays([part.column("row")[:1], *whole, pa.array([packed_texts(part.column("text"))], pa.binary()), pa.array([size], pa.int64())], ["chunk", "rows", "ids", "learn", "texts", "size"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    chunks = materialize(rows.mapInArrow(hold, "chunk long, rows array<long>, ids array<long>, texts array<string>, learn array<boolean>, size long"), "lm-chunks", "zstd")
+    chunks = materialize(rows.mapInArrow(hold, "chunk long, rows array<long>, ids array<long>, learn array<boolean>, texts binary, size long"), "lm-chunks", "zstd")
     size, n = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     segment_bits = max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
     # partitions grow with the corpus, so a task's share does not
