@@ -35,7 +35,7 @@ def related_terms(posted: DataFrame, wanted: DataFrame, k: int = 3, newest: int
     n = posted.select(F.countDistinct(key).alias("n"))
     df = document_frequency(posted)
     newest_of = Window.partitionBy("term").orderBy(F.desc(key))
-    seeds = posted.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").withColumn("k", F.row_number().over(newest_of)).where(F.col("k") <= newest).select(key, F.col("term").alias("seed"))
+    seeds = posted.join(wanted.select("term").distinct(), "term", "left_semi").withColumn("k", F.row_number().over(newest_of)).where(F.col("k") <= newest).select(key, F.col("term").alias("seed"))
     near = posted.where(T.is_phrase(F.col("term"))).select(key, F.col("term").alias("u")).join(seeds, key)
     near = near.where((F.instr("u", F.col("seed")) == 0) & (F.instr("seed", F.col("u")) == 0))
     together = near.groupBy("seed", "u").agg(F.count(F.lit(1)).alias("c"))

@@ -137,7 +137,7 @@ def longest_continuations(histories: DataFrame, rows: DataFrame, least: int = 2,
     # a text's end is a token too
     bodies = rows.select(F.concat(tokens, F.array(F.lit(STOP))).alias("t")).where(F.size("t") > least)
     found = bodies.select("t", F.explode(F.sequence(F.lit(2), F.size("t") - 1)).alias("i")).withColumn("pair", pair(F.col("t"), F.col("i")))
-    hits = found.join(F.broadcast(asked_), "pair")
+    hits = found.join(asked_, "pair")
     same = F.aggregate(
         F.sequence(F.lit(0), F.least(F.lit(most), F.col("i"), F.size("h")) - 1),
         F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
