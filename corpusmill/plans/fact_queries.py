@@ -193,7 +193,8 @@ def synthetic_questions(spark, sf):
     return rows.select("seq", "question", "answer", F.explode(F.array(F.lit(True), F.lit(False))).alias("with_context"))
 
 
-_ENUM = "([^。、,]{1,40}(?:[、,][^。、,]{1,40}){1,8})(?:など|等|といった|が挙げられる|がある)"
+_CLOSING = ("など", "等", "といった", "が挙げられる", "がある")
+_ENUM = f"([^。、,]{{1,40}}(?:[、,][^。、,]{{1,40}}){{1,8}})(?:{'|'.join(_CLOSING)})"
 
 
 @query(
@@ -202,10 +203,12 @@ c AS (SELECT doc_id, pos, j, regexp_replace(regexp_replace(part, '^[「」 ]+|[
 SELECT DISTINCT doc_id, CASE WHEN j = 1 THEN regexp_replace(part, '^.*?(?:には|としては|として|例えば|たとえば|は|が)', '') ELSE part END AS item FROM c WHERE length(CASE WHEN j = 1 THEN regexp_replace(part, '^.*?(?:には|としては|として|例えば|たとえば|は|が)', '') ELSE part END) BETWEEN 2 AND 30"""
 )
 def listed_items(spark, sf):
-    """What sentences list before a closing word."""
+    """What sentences list before a closing word; texts and sentences that have none, or no comma, are neither cut nor matched."""
     from corpusmill.plans.text_queries import sentences
 
-    rows = sentences(spark, sf).select("doc_id", F.explode(T.all_matches("text", _ENUM, 1)).alias("m"))
+    said = lambda t: F.greatest(*[t.contains(w) for w in _CLOSING]) & (t.contains("、") | t.contains(","))
+    matched = F.when(said(F.col("text")), T.all_matches("text", _ENUM, 1)).otherwise(T.strings())
+    rows = sentences(spark, sf, said(F.col("text"))).select("doc_id", F.explode_outer(matched).alias("m")).where("m is not null")
     rows = rows.select("doc_id", F.posexplode(F.split("m", "[、,]")).alias("j", "part"))
     part = F.regexp_replace(F.regexp_replace("part", "^[「」 ]+|[「」 ]+$", ""), "(など|等|といった|が挙げられる|がある)$", "")
     lead = F.regexp_replace(part, "^.*?(?:には|としては|として|例えば|たとえば|は|が)", "")
