@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import models, ngrams, tools
+from corpusmill.operators import models, ngrams, term_space, tools
 from corpusmill.plans import golden
 from corpusmill.plans.corpus_queries import numbered
 from corpusmill.plans.registry import query, table
@@ -22,7 +22,7 @@ def html_extract(spark, sf):
 @query()
 def term_vectors(spark, sf):
     """Random-indexing vectors of all phrases, by dimension."""
-    return models.term_vectors(ngrams.cooccurrence(numbered(spark, sf)))
+    return term_space.vectors(numbered(spark, sf))
 
 
 @query()
