@@ -27,7 +27,7 @@ def term_vectors(spark, sf):
 
 @query()
 def term_sketches(spark, sf):
-    return models.sketches(term_vectors(spark, sf))
+    return term_space.sketches(numbered(spark, sf))
 
 
 @query()
