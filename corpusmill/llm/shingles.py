@@ -1,7 +1,8 @@
-"""Near copies by the similarity of their word shingles, found by banded min-hashes and verified on the shingles.
+"""Near copies by the similarity of their word shingles, found by SimHash and banded min-hashes and verified on the shingles.
 
 Two texts link when the Jaccard similarity of their sets of five-word shingles is at least 4/5; a component keeps its
-least doc_id. Candidates share one of ``BANDS`` bands of ``ROWS`` min-hashes: a pair at 0.8 is missed with a chance of
+least doc_id. Candidates are the members of a component of operator 4 (SimHash, covering LSH), and, as most pairs at 0.8 have
+fingerprints further apart than its four bits, those that share one of ``BANDS`` bands of ``ROWS`` min-hashes: a pair at 0.8 is missed with a chance of
 (1 - 0.8^5)^32 = 3e-6, one at 0.9 with 2e-13. No pair links unverified: the sets of a bucket's texts are compared in
 whole numbers. Buckets of the same texts (copies agree in many bands) are verified once, and what was reached is never
 compared again, so a dense bucket takes few passes. A bucket's sets lie in one task, 8 bytes a distinct shingle.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize, one_each, text_chunks
 from corpusmill.llm.lm_score import hashes, mix, tokens_of
-from corpusmill.llm.simhash import components
+from corpusmill.llm.simhash import components, simhash_components
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -171,7 +172,12 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each document: doc_id, node (the digest of its shingles), component_id (the least doc_id reachable)."""
     rows = materialize(sketches(docs, id_col, text_col), "shingle-sketches")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("node", "x.doc_id", "x.keys"), "shingle-nodes")
-    members = materialize(buckets(nodes).distinct(), "shingle-buckets")
+    # candidates: SimHash components, and the bands for pairs whose fingerprints lie further apart
+    prints = materialize(simhash_components(docs, id_col=id_col, text_col=text_col), "shingle-simhash").select("doc_id", "component_id").distinct()
+    near = nodes.select("node", "doc_id").join(prints.hint("merge"), "doc_id").select(F.col("component_id").alias("bucket"), "node")
+    many = near.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    near = near.join(many, "bucket", "left_semi")
+    members = materialize(buckets(nodes).unionByName(near.select(F.xxhash64(F.lit("simhash"), "bucket").alias("bucket"), "node")).distinct(), "shingle-buckets")
     asked = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("doc_id").alias("__asked"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(asked.hint("merge"), F.col("doc_id") == F.col("__asked"), "left_semi")
     sets = materialize(shingles_of(texts).dropDuplicates(["node"]), "shingle-sets")
