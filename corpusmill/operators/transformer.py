@@ -6,6 +6,7 @@ A model is a dict of float32 tensors. Its size is set by its :class:`Shape`, nev
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections.abc import Iterator
@@ -21,6 +22,12 @@ MOST_BYTES = 64 << 20
 EPSILON = 1e-5
 # The optimiser and the average of weights.
 BETA1, BETA2, DECAY, CLIP, KEEP, AVERAGE_EVERY = 0.9, 0.99, 0.05, 1.0, 0.998, 4
+#: Rows of attention that are worked on together: they need no keys after their last one, and stay in the cache.
+ROWS = 32
+#: Sequences that are worked on together, for the same reason.
+TOGETHER = 8
+#: Scores that cannot be larger than this need no maximum taken off before they are exponents of float32.
+STEADY = 40.0
 
 
 @dataclass(frozen=True)
@@ -52,25 +59,38 @@ def layers_of(w: Weights) -> int:
     return sum(n.endswith(".query") for n in w)
 
 
+def _dots(x, y):
+    return np.einsum("...i,...i->...", x, y)[..., None]
+
+
 def _norm(x, g):
-    r = 1 / np.sqrt((x * x).mean(-1, keepdims=True) + EPSILON)
+    r = 1 / np.sqrt(_dots(x, x) / x.shape[-1] + EPSILON)
     return x * r * g, r
 
 
 def _norm_back(dy, x, r, g):
-    dg = (dy * x * r).reshape(-1, x.shape[-1]).sum(0)
+    x = x * r
+    dg = np.einsum("ij,ij->j", dy.reshape(-1, x.shape[-1]), x.reshape(-1, x.shape[-1]))
     dy = dy * g
-    return r * dy - x * r**3 * (dy * x).mean(-1, keepdims=True), dg
+    x *= _dots(dy, x) / x.shape[-1]
+    dy -= x
+    dy *= r
+    return dy, dg
 
 
-def _angles(start: int, n: int, size: int):
+def _angles(start: int, n: int, heads: int, size: int, kind):
+    """Cosines and sines for each column of all heads, and the matrix that turns a column's pair by a quarter."""
     turn = np.arange(start, start + n)[:, None] / 10000 ** (np.arange(size // 2) * 2 / size)[None]
-    return np.cos(turn).astype(np.float32), np.sin(turn).astype(np.float32)
+    half, quarter = np.eye(size // 2), np.zeros((size, size))
+    quarter[: size // 2, size // 2 :], quarter[size // 2 :, : size // 2] = half, -half
+    return (*(np.tile(f(turn), 2 * heads).astype(np.float32) for f in (np.cos, np.sin)), np.kron(np.eye(heads), quarter).astype(kind))
 
 
-def _rotate(x, cos, sin):
-    a, b = np.split(x, 2, axis=-1)
-    return np.concatenate([a * cos - b * sin, a * sin + b * cos], -1)
+def _rotate(x, cos, sin, quarter):
+    turned = x @ quarter
+    turned *= sin
+    turned += x * cos
+    return turned
 
 
 def _split(x, heads):
@@ -86,69 +106,117 @@ def _softmax(x):
     return e / e.sum(-1, keepdims=True)
 
 
+def _attend(q, k, v, start):
+    """Sums of values, weighted by exponents of scores, the exponents' sums in the last column, and the exponents in blocks.
+
+    ``v`` has a last column of ones. A query at ``i`` reads the keys up to ``start + i``; the rest are not computed.
+    """
+    n, sums, blocks = q.shape[2], np.empty((*q.shape[:3], v.shape[-1]), q.dtype), []
+    k = np.ascontiguousarray(k.transpose(0, 1, 3, 2))
+    steady = math.sqrt(float(np.einsum("...i,...i->...", q, q).max()) * float(np.einsum("...ij,...ij->...j", k, k).max())) <= STEADY
+    hidden = np.triu(np.full((min(n, ROWS),) * 2, -1e9, q.dtype), 1)
+    for at in range(0, n, ROWS):
+        to = min(at + ROWS, n)
+        e = q[:, :, at:to] @ k[..., : start + to]
+        e[..., start + at :] += hidden[: to - at, : to - at]
+        if not steady:
+            e -= e.max(-1, keepdims=True)
+        np.exp(e, out=e)
+        sums[:, :, at:to] = e @ v[:, :, : start + to]
+        blocks.append(e)
+    return sums, blocks
+
+
+def _attend_back(do, o, q, k, v, sums, blocks):
+    """Gradients of queries, keys and values, without a past."""
+    dq, dk, dv = np.empty_like(q), np.zeros_like(k), np.zeros_like(k)
+    own = np.concatenate([do, -_dots(do, o)], -1) / sums[..., -1:]
+    do, v = own[..., :-1], np.ascontiguousarray(v.transpose(0, 1, 3, 2))
+    for i, e in enumerate(blocks):
+        at, to = i * ROWS, e.shape[-1]
+        dv[:, :, :to] += e.transpose(0, 1, 3, 2) @ do[:, :, at:to]
+        ds = own[:, :, at:to] @ v[..., :to]
+        ds *= e
+        dq[:, :, at:to] = ds @ k[:, :, :to]
+        dk[:, :, :to] += ds.transpose(0, 1, 3, 2) @ q[:, :, at:to]
+    return dq, dk, dv
+
+
 def forward(w: Weights, ids: np.ndarray, heads: int, past: list | None = None) -> tuple[np.ndarray, list]:
     """Logits of (batch, time) ids, and what the gradients need. ``past`` holds each layer's keys and values, and grows."""
     start = past[0][0].shape[2] if past and past[0] is not None else 0
     x, steps = w["embedding"][ids], []
     n, size = ids.shape[1], x.shape[-1] // heads
-    cos, sin = _angles(start, n, size)
-    hidden = np.triu(np.full((n, start + n), -1e9, x.dtype), start + 1)
+    cos, sin, quarter = _angles(start, n, heads, size, x.dtype)
     for i in range(layers_of(w)):
         a, r1 = _norm(x, w[f"{i}.norm1"])
-        q, k = (_rotate(_split(a @ w[f"{i}.{m}"], heads), cos, sin) for m in ("query", "key"))
+        q, k = (_split(_rotate(a @ w[f"{i}.{m}"], cos, sin, quarter), heads) for m in ("query", "key"))
+        q *= 1 / math.sqrt(size)
         v = _split(a @ w[f"{i}.value"], heads)
+        v = np.concatenate([v, np.ones_like(v[..., :1])], -1)
         if past is not None:
             if past[i] is not None:
                 k, v = np.concatenate([past[i][0], k], 2), np.concatenate([past[i][1], v], 2)
             past[i] = (k, v)
-        p = _softmax(q @ k.transpose(0, 1, 3, 2) / math.sqrt(size) + hidden)
-        o = _join(p @ v)
+        sums, blocks = _attend(q, k, v, start)
+        each = sums[..., :-1] / sums[..., -1:]
+        o = _join(each)
         y = x + o @ w[f"{i}.out"]
         b, r2 = _norm(y, w[f"{i}.norm2"])
         g, u = b @ w[f"{i}.gate"], b @ w[f"{i}.up"]
         s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
-        steps.append((x, r1, a, q, k, v, p, o, y, r2, b, g, u, s))
+        steps.append((x, r1, a, q, k, v, sums, blocks, each, o, y, r2, b, g, u, s))
         x = y + (g * s * u) @ w[f"{i}.down"]
     last, r = _norm(x, w["last_norm"])
-    return last @ w["embedding"].T, [*steps, (x, r, last, cos, sin)]
+    return last @ w["embedding"].T, [*steps, (x, r, last, cos, sin, quarter)]
 
 
 def loss_and_gradients(w: Weights, ids: np.ndarray, weights: np.ndarray, heads: int) -> tuple[float, Weights]:
     """The mean loss of each next token, weighted; a negative weight makes a token less likely instead of likelier."""
+    share, loss, grads = weights / max(np.abs(weights).sum(), 1e-9), 0.0, {}
+    for at in range(0, len(ids), TOGETHER):
+        more, part = _share_of_loss(w, ids[at : at + TOGETHER], share[at : at + TOGETHER], heads)
+        loss, grads = loss + more, {n: grads[n] + g for n, g in part.items()} if grads else part
+    return loss, grads
+
+
+def _share_of_loss(w: Weights, ids: np.ndarray, share: np.ndarray, heads: int) -> tuple[float, Weights]:
     logits, steps = forward(w, ids[:, :-1], heads)
-    p, at, share = _softmax(logits), ids[:, 1:, None], weights / max(np.abs(weights).sum(), 1e-9)
+    p, at = _softmax(logits), ids[:, 1:, None]
     got = np.take_along_axis(p, at, -1)[..., 0]
     rest = np.maximum(1 - got, 1e-6)
     loss = float(np.where(share >= 0, -np.log(np.maximum(got, 1e-12)) * share, np.log(rest) * share).sum())
-    hit = np.zeros_like(p)
-    np.put_along_axis(hit, at, 1.0, -1)
-    unlikely = np.where(hit > 0, got[..., None], -p * (got / rest)[..., None])
-    d = np.where(share[..., None] >= 0, (p - hit) * share[..., None], unlikely * -share[..., None]).astype(p.dtype)
-    x, r, last, cos, sin = steps[-1]
+    likely = share >= 0
+    d = p * np.where(likely, share, share * got / rest)[..., None].astype(p.dtype)
+    np.put_along_axis(d, at, (np.where(likely, got - 1, -got) * share)[..., None], -1)
+    x, r, last, cos, sin, quarter = steps[-1]
     flat = lambda m: m.reshape(-1, m.shape[-1])
     grads = {"embedding": flat(d).T @ flat(last)}
     dx, grads["last_norm"] = _norm_back(d @ w["embedding"], x, r, w["last_norm"])
     for i in reversed(range(layers_of(w))):
-        x, r1, a, q, k, v, p, o, y, r2, b, g, u, s = steps[i]
-        grads[f"{i}.down"] = flat(g * s * u).T @ flat(dx)
+        x, r1, a, q, k, v, sums, blocks, each, o, y, r2, b, g, u, s = steps[i]
+        gs = g * s
+        grads[f"{i}.down"] = flat(gs * u).T @ flat(dx)
         dh = dx @ w[f"{i}.down"].T
-        dg, du = dh * u * s * (1 + g * (1 - s)), dh * g * s
+        dg, du = dh * u * (s + gs * (1 - s)), dh * gs
         grads[f"{i}.gate"], grads[f"{i}.up"] = flat(b).T @ flat(dg), flat(b).T @ flat(du)
         db, grads[f"{i}.norm2"] = _norm_back(dg @ w[f"{i}.gate"].T + du @ w[f"{i}.up"].T, y, r2, w[f"{i}.norm2"])
         dy = dx + db
         grads[f"{i}.out"] = flat(o).T @ flat(dy)
         do = _split(dy @ w[f"{i}.out"].T, heads)
-        dp = do @ v.transpose(0, 1, 3, 2)
-        ds = p * (dp - (dp * p).sum(-1, keepdims=True)) / math.sqrt(q.shape[-1])
-        back = {"query": _rotate(ds @ k, cos, -sin), "key": _rotate(ds.transpose(0, 1, 3, 2) @ q, cos, -sin), "value": p.transpose(0, 1, 3, 2) @ do}
+        dq, dk, dv = _attend_back(do, each, q, k, v, sums, blocks)
+        dq *= 1 / math.sqrt(q.shape[-1])
+        back = {"query": _rotate(_join(dq), cos, -sin, quarter), "key": _rotate(_join(dk), cos, -sin, quarter), "value": _join(dv)}
         da = 0
         for m, part in back.items():
-            part = _join(part)
             grads[f"{i}.{m}"] = flat(a).T @ flat(part)
             da = da + part @ w[f"{i}.{m}"].T
         dn, grads[f"{i}.norm1"] = _norm_back(da, x, r1, w[f"{i}.norm1"])
         dx = dy + dn
-    np.add.at(grads["embedding"], ids[:, :-1], dx)
+    read = ids[:, :-1].reshape(-1)
+    order = np.argsort(read, kind="stable")
+    found, first = np.unique(read[order], return_index=True)
+    grads["embedding"][found] += np.add.reduceat(flat(dx)[order], first)
     return loss, grads
 
 
@@ -211,14 +279,23 @@ def _checked(w: Weights) -> Weights:
     return w
 
 
+def _keep_memory() -> None:
+    """Freed arrays stay with the process: else each step gets its pages anew, which takes as long as its sums (glibc only)."""
+    allocator = ctypes.CDLL(None)
+    if hasattr(allocator, "mallopt"):
+        allocator.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        allocator.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def _batch(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Padded ids, and a weight for each next token: the request's count a tenth of the reply's, padding nothing."""
-    longest = max(map(len, part["ids"]))
-    ids, weights = np.zeros((len(part), longest), np.int64), np.zeros((len(part), longest - 1), np.float32)
-    for i, (t, start, weight) in enumerate(zip(part["ids"], part["loss_from"], part["weight"], strict=True)):
-        ids[i, : len(t)] = t
-        weights[i, : len(t) - 1] = np.where(np.arange(1, len(t)) < start, 0.1 * abs(weight), weight)
-    return ids, weights
+    size = np.fromiter(map(len, part["ids"]), np.int64, len(part))[:, None]
+    ids = np.zeros((len(part), int(size.max())), np.int64)
+    for row, t in zip(ids, part["ids"], strict=True):
+        row[: len(t)] = t
+    at, weight = np.arange(1, ids.shape[1])[None], part["weight"].to_numpy(np.float32)[:, None]
+    weights = np.where(at < part["loss_from"].to_numpy()[:, None], np.float32(0.1) * np.abs(weight), weight)
+    return ids, np.where(at < size, weights, np.float32(0))
 
 
 def train(rows: DataFrame, w: Weights, shape: Shape, rounds: int, workers: int = 4, rate: float = 3e-3, batch: int = 16, key: str = "id") -> Weights:
@@ -233,6 +310,7 @@ def train(rows: DataFrame, w: Weights, shape: Shape, rounds: int, workers: int =
         held = rows.sparkSession.sparkContext.broadcast(_checked(w))
 
         def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            _keep_memory()
             state, seen = Optimiser(held.value), 0
             for part in parts:
                 for at in range(0, len(part), batch):
