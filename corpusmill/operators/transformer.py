@@ -331,21 +331,34 @@ def train(rows: DataFrame, w: Weights, shape: Shape, rounds: int, workers: int =
     return w
 
 
+def _nats(w: Weights, heads: int, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each sequence's next tokens and their mean negative log probability (nan: none).
+
+    Sequences of like length are padded and worked on together; no token reads what is after it.
+    """
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    nats, order = np.full(len(rows), np.nan), np.argsort(size, kind="stable")
+    order = order[size[order] >= 2]
+    for at in range(0, len(order), TOGETHER):
+        some = order[at : at + TOGETHER]
+        ids = np.zeros((len(some), int(size[some[-1]])), np.int64)
+        for row, i in zip(ids, some, strict=True):
+            row[: size[i]] = rows[i]
+        p = np.take_along_axis(_softmax(forward(w, ids[:, :-1], heads)[0]), ids[:, 1:, None], -1)[..., 0]
+        wanted = np.arange(1, ids.shape[1])[None] < size[some, None]
+        nats[some] = np.where(wanted, -np.log(np.maximum(p, 1e-12)), 0).sum(1, dtype=float) / (size[some] - 1)
+    return np.maximum(size - 1, 0), nats
+
+
 def scored(rows: DataFrame, w: Weights, shape: Shape, key: str = "id") -> DataFrame:
     """key, tokens, nats: the mean negative log probability of each sequence's tokens; shorter than two: none."""
     held = rows.sparkSession.sparkContext.broadcast(_checked(w))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _keep_memory()
         for part in parts:
-            out = []
-            for t in part["ids"]:
-                ids = np.array([t], np.int64)
-                if ids.shape[1] < 2:
-                    out.append((0, None))
-                    continue
-                p = _softmax(forward(held.value, ids[:, :-1], shape.heads)[0])[0]
-                out.append((len(t) - 1, float(-np.log(np.maximum(p[np.arange(len(t) - 1), ids[0, 1:]], 1e-12)).mean())))
-            yield pd.DataFrame({key: part[key], "tokens": [n for n, _ in out], "nats": pd.Series([x for _, x in out], dtype=float)})
+            tokens, nats = _nats(held.value, shape.heads, list(part["ids"]))
+            yield pd.DataFrame({key: part[key], "tokens": tokens, "nats": nats})
 
     return rows.select(key, "ids").mapInPandas(run, f"{key} long, tokens long, nats double")
 

@@ -1,4 +1,4 @@
-"""The decoder leaves out scores that no query reads; results are those of plain sums."""
+"""The decoder leaves out scores that no query reads, and scores sequences together; results are those of plain sums."""
 
 from __future__ import annotations
 
@@ -36,3 +36,17 @@ def test_gradients_of_whole_windows_equal_differences():
             ends.append(M.loss_and_gradients(w, ids, weights, SHAPE.heads)[0])
         t[at] = old
         assert abs((ends[0] - ends[1]) / (2 * h) - grads[n][at]) < 1e-5, n
+
+
+def test_sequences_are_scored_together(monkeypatch):
+    rng, w, calls, forward = np.random.default_rng(2), model(10), [], M.forward
+    rows = [rng.integers(0, 13, n) for n in (5, 40, 0, 2, 1, 33, 40, 7, 3, 64, 12)]
+    monkeypatch.setattr(M, "forward", lambda *a: calls.append(1) or forward(*a))
+    tokens, nats = M._nats(w, SHAPE.heads, rows)
+    assert list(tokens) == [max(len(t) - 1, 0) for t in rows] and len(calls) == 2
+    for t, got in zip(rows, nats, strict=True):
+        if len(t) < 2:
+            assert np.isnan(got)
+            continue
+        p = M._softmax(forward(w, t[None, :-1], SHAPE.heads)[0])[0]
+        assert abs(got + np.log(p[np.arange(len(t) - 1), t[1:]]).mean()) < 1e-9
