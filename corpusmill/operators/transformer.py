@@ -24,8 +24,10 @@ EPSILON = 1e-5
 BETA1, BETA2, DECAY, CLIP, KEEP, AVERAGE_EVERY = 0.9, 0.99, 0.05, 1.0, 0.998, 4
 #: Rows of attention that are worked on together: they need no keys after their last one, and stay in the cache.
 ROWS = 32
-#: Sequences that are worked on together, for the same reason.
-TOGETHER = 8
+#: Sequences that are scored together, for the same reason, and those that are learned together, where calls cost more than the cache saves.
+TOGETHER, LEARNED_TOGETHER = 8, 16
+#: Prompts that are continued together: a step for one takes nearly as long as for all of them.
+CONTINUED_TOGETHER = 32
 #: Scores that cannot be larger than this need no maximum taken off before they are exponents of float32.
 STEADY = 40.0
 
@@ -59,51 +61,48 @@ def layers_of(w: Weights) -> int:
     return sum(n.endswith(".query") for n in w)
 
 
-def _dots(x, y):
-    return np.einsum("...i,...i->...", x, y)[..., None]
+# Inside a pass, arrays are (batch, rows, time): a product takes a sequence as it lies, heads are rows that need no copies,
+# and what is done to a token or a row runs along the memory.
 
 
-def _norm(x, g):
-    r = 1 / np.sqrt(_dots(x, x) / x.shape[-1] + EPSILON)
-    return x * r * g, r
+def _norm(x):
+    """Tokens by their root mean square, and its inverse."""
+    r = np.einsum("bij,bij->bj", x, x)[:, None]
+    r = 1 / np.sqrt(r / x.shape[1] + EPSILON)
+    return x * r, r
 
 
-def _norm_back(dy, x, r, g):
-    x = x * r
-    dg = np.einsum("ij,ij->j", dy.reshape(-1, x.shape[-1]), x.reshape(-1, x.shape[-1]))
-    dy = dy * g
-    x *= _dots(dy, x) / x.shape[-1]
-    dy -= x
-    dy *= r
-    return dy, dg
+def _norm_back(d, x, r):
+    """``x`` is the first result of :func:`_norm`; ``d`` is overwritten."""
+    d -= x * (np.einsum("bij,bij->bj", d, x) / x.shape[1])[:, None]
+    d *= r
+    return d
 
 
-def _angles(start: int, n: int, heads: int, size: int, kind):
-    """Cosines and sines for each column of all heads, and the matrix that turns a column's pair by a quarter."""
-    turn = np.arange(start, start + n)[:, None] / 10000 ** (np.arange(size // 2) * 2 / size)[None]
-    half, quarter = np.eye(size // 2), np.zeros((size, size))
-    quarter[: size // 2, size // 2 :], quarter[size // 2 :, : size // 2] = half, -half
-    return (*(np.tile(f(turn), 2 * heads).astype(np.float32) for f in (np.cos, np.sin)), np.kron(np.eye(heads), quarter).astype(kind))
+def _angles(start: int, n: int, size: int):
+    """Cosines and sines of each pair of a head's rows."""
+    turn = np.arange(start, start + n)[None] / 10000 ** (np.arange(size // 2) * 2 / size)[:, None]
+    return np.cos(turn).astype(np.float32), np.sin(turn).astype(np.float32)
 
 
-def _rotate(x, cos, sin, quarter):
-    turned = x @ quarter
-    turned *= sin
-    turned += x * cos
-    return turned
+def _rotate(x, cos, sin):
+    """Turns the pairs of rows of (..., size, time), which are half a head apart."""
+    x = x.reshape(*x.shape[:-2], 2, *cos.shape)
+    turned = x * cos
+    turned[..., 0, :, :] -= x[..., 1, :, :] * sin
+    turned[..., 1, :, :] += x[..., 0, :, :] * sin
+    return turned.reshape(*x.shape[:-3], -1, x.shape[-1])
 
 
-def _split(x, heads):
-    return x.reshape(*x.shape[:2], heads, -1).transpose(0, 2, 1, 3)
+def _turned(x):
+    return x.swapaxes(-1, -2)
 
 
-def _join(x):
-    return x.transpose(0, 2, 1, 3).reshape(x.shape[0], x.shape[2], -1)
-
-
-def _softmax(x):
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+def _softmax(x, axis=-1):
+    e = x - x.max(axis, keepdims=True)
+    np.exp(e, out=e)
+    e /= e.sum(axis, keepdims=True)
+    return e
 
 
 def _attend(q, k, v, start):
@@ -111,9 +110,10 @@ def _attend(q, k, v, start):
 
     ``v`` has a last column of ones. A query at ``i`` reads the keys up to ``start + i``; the rest are not computed.
     """
-    n, sums, blocks = q.shape[2], np.empty((*q.shape[:3], v.shape[-1]), q.dtype), []
-    k = np.ascontiguousarray(k.transpose(0, 1, 3, 2))
-    steady = math.sqrt(float(np.einsum("...i,...i->...", q, q).max()) * float(np.einsum("...ij,...ij->...j", k, k).max())) <= STEADY
+    n, blocks = q.shape[2], []
+    sums = _turned(np.empty((*q.shape[:2], v.shape[-1], n), q.dtype))
+    k, v = _turned(k), _turned(v)
+    steady = math.sqrt(float(np.einsum("...ij,...ij->...i", q, q).max()) * float(np.einsum("...ij,...ij->...j", k, k).max())) <= STEADY
     hidden = np.triu(np.full((min(n, ROWS),) * 2, -1e9, q.dtype), 1)
     for at in range(0, n, ROWS):
         to = min(at + ROWS, n)
@@ -122,126 +122,158 @@ def _attend(q, k, v, start):
         if not steady:
             e -= e.max(-1, keepdims=True)
         np.exp(e, out=e)
-        sums[:, :, at:to] = e @ v[:, :, : start + to]
+        np.matmul(v[..., : start + to], _turned(e), out=_turned(sums)[..., at:to])
         blocks.append(e)
     return sums, blocks
 
 
 def _attend_back(do, o, q, k, v, sums, blocks):
-    """Gradients of queries, keys and values, without a past."""
-    dq, dk, dv = np.empty_like(q), np.zeros_like(k), np.zeros_like(k)
-    own = np.concatenate([do, -_dots(do, o)], -1) / sums[..., -1:]
-    do, v = own[..., :-1], np.ascontiguousarray(v.transpose(0, 1, 3, 2))
-    for i, e in enumerate(blocks):
-        at, to = i * ROWS, e.shape[-1]
-        dv[:, :, :to] += e.transpose(0, 1, 3, 2) @ do[:, :, at:to]
-        ds = own[:, :, at:to] @ v[..., :to]
+    """Gradients of queries, keys and values side by side, without a past; all are (batch, heads, size, time)."""
+    own = np.empty_like(v)
+    np.divide(do, sums[:, :, -1:], out=own[:, :, :-1])
+    np.negative(np.einsum("bhij,bhij->bhj", own[:, :, :-1], o), out=own[:, :, -1])
+    d = np.empty((len(q), 3, *q.shape[1:]), q.dtype)
+    for i in reversed(range(len(blocks))):
+        e, at = blocks[i], i * ROWS
+        to = e.shape[-1]
+        mine = slice(at, to)
+        ds = _turned(own[..., mine]) @ v[..., :to]
         ds *= e
-        dq[:, :, at:to] = ds @ k[:, :, :to]
-        dk[:, :, :to] += ds.transpose(0, 1, 3, 2) @ q[:, :, at:to]
-    return dq, dk, dv
+        np.matmul(k[..., :to], _turned(ds), out=d[:, 0, ..., mine])
+        for part, x, y in ((d[:, 1], q, ds), (d[:, 2], own[:, :, :-1], e)):
+            if i == len(blocks) - 1:
+                np.matmul(x[..., mine], y, out=part)
+            else:
+                part[..., :to] += x[..., mine] @ y
+    return d
+
+
+def _joined(w: Weights, norm: str, *names: str) -> np.ndarray:
+    """Matrices side by side, a row for each result, with the norm's factors before them."""
+    return np.concatenate([w[m].T for m in names]) * w[norm]
+
+
+def _parted(w: Weights, d: np.ndarray, x: np.ndarray, norm: str, *names: str) -> Weights:
+    """Gradients of joined matrices and of the norm's factors, from those of results and from the norm's tokens."""
+    both, whole = (d @ _turned(x)).sum(0), np.concatenate([w[m].T for m in names])
+    ends = np.cumsum([w[m].shape[1] for m in names])[:-1]
+    return {norm: np.einsum("ij,ij->j", both, whole)} | {m: g.T for m, g in zip(names, np.split(both * w[norm], ends), strict=True)}
 
 
 def forward(w: Weights, ids: np.ndarray, heads: int, past: list | None = None) -> tuple[np.ndarray, list]:
     """Logits of (batch, time) ids, and what the gradients need. ``past`` holds each layer's keys and values, and grows."""
     start = past[0][0].shape[2] if past and past[0] is not None else 0
-    x, steps = w["embedding"][ids], []
-    n, size = ids.shape[1], x.shape[-1] // heads
-    cos, sin, quarter = _angles(start, n, heads, size, x.dtype)
+    x, steps = np.ascontiguousarray(_turned(w["embedding"][ids])), []
+    (batch, _, n), size = x.shape, x.shape[1] // heads
+    cos, sin = _angles(start, n, size)
     for i in range(layers_of(w)):
-        a, r1 = _norm(x, w[f"{i}.norm1"])
-        q, k = (_split(_rotate(a @ w[f"{i}.{m}"], cos, sin, quarter), heads) for m in ("query", "key"))
+        three, two = _joined(w, f"{i}.norm1", *(f"{i}.{m}" for m in ("query", "key", "value"))), _joined(w, f"{i}.norm2", f"{i}.gate", f"{i}.up")
+        a, r1 = _norm(x)
+        qkv = (three @ a).reshape(batch, 3, heads, size, n)
+        qk, v = _rotate(qkv[:, :2], cos, sin), np.ones((batch, heads, size + 1, n), x.dtype)
+        q, k, v[:, :, :-1] = qk[:, 0], qk[:, 1], qkv[:, 2]
         q *= 1 / math.sqrt(size)
-        v = _split(a @ w[f"{i}.value"], heads)
-        v = np.concatenate([v, np.ones_like(v[..., :1])], -1)
+        keys, values = _turned(k), _turned(v)
         if past is not None:
             if past[i] is not None:
-                k, v = np.concatenate([past[i][0], k], 2), np.concatenate([past[i][1], v], 2)
-            past[i] = (k, v)
-        sums, blocks = _attend(q, k, v, start)
-        each = sums[..., :-1] / sums[..., -1:]
-        o = _join(each)
-        y = x + o @ w[f"{i}.out"]
-        b, r2 = _norm(y, w[f"{i}.norm2"])
-        g, u = b @ w[f"{i}.gate"], b @ w[f"{i}.up"]
-        s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
-        steps.append((x, r1, a, q, k, v, sums, blocks, each, o, y, r2, b, g, u, s))
-        x = y + (g * s * u) @ w[f"{i}.down"]
-    last, r = _norm(x, w["last_norm"])
-    return last @ w["embedding"].T, [*steps, (x, r, last, cos, sin, quarter)]
+                keys, values = np.concatenate([past[i][0], keys], 2), np.concatenate([past[i][1], values], 2)
+            past[i] = (keys, values)
+        sums, blocks = _attend(_turned(q), keys, values, start)
+        sums = _turned(sums)
+        o = sums[:, :, :-1] / sums[:, :, -1:]
+        x = x + w[f"{i}.out"].T @ o.reshape(x.shape)
+        b, r2 = _norm(x)
+        gu = two @ b
+        g, u = gu[:, : len(two) // 2], gu[:, len(two) // 2 :]
+        s = np.clip(g, -60, 60)
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        np.divide(1, s, out=s)
+        gs = g * s
+        h = gs * u
+        steps.append((three, two, a, r1, q, k, v, sums, blocks, o, b, r2, u, s, gs, h))
+        x = x + w[f"{i}.down"].T @ h
+    last, r = _norm(x)
+    known = w["embedding"] * w["last_norm"]
+    return _turned(known @ last), [*steps, (known, last, r, cos, sin)]
 
 
 def loss_and_gradients(w: Weights, ids: np.ndarray, weights: np.ndarray, heads: int) -> tuple[float, Weights]:
     """The mean loss of each next token, weighted; a negative weight makes a token less likely instead of likelier."""
     share, loss, grads = weights / max(np.abs(weights).sum(), 1e-9), 0.0, {}
-    for at in range(0, len(ids), TOGETHER):
-        more, part = _share_of_loss(w, ids[at : at + TOGETHER], share[at : at + TOGETHER], heads)
+    for at in range(0, len(ids), LEARNED_TOGETHER):
+        more, part = _share_of_loss(w, ids[at : at + LEARNED_TOGETHER], share[at : at + LEARNED_TOGETHER], heads)
         loss, grads = loss + more, {n: grads[n] + g for n, g in part.items()} if grads else part
     return loss, grads
 
 
 def _share_of_loss(w: Weights, ids: np.ndarray, share: np.ndarray, heads: int) -> tuple[float, Weights]:
     logits, steps = forward(w, ids[:, :-1], heads)
-    p, at = _softmax(logits), ids[:, 1:, None]
-    got = np.take_along_axis(p, at, -1)[..., 0]
-    rest = np.maximum(1 - got, 1e-6)
-    loss = float(np.where(share >= 0, -np.log(np.maximum(got, 1e-12)) * share, np.log(rest) * share).sum())
-    likely = share >= 0
-    d = p * np.where(likely, share, share * got / rest)[..., None].astype(p.dtype)
-    np.put_along_axis(d, at, (np.where(likely, got - 1, -got) * share)[..., None], -1)
-    x, r, last, cos, sin, quarter = steps[-1]
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    grads = {"embedding": flat(d).T @ flat(last)}
-    dx, grads["last_norm"] = _norm_back(d @ w["embedding"], x, r, w["last_norm"])
+    d, at = _softmax(_turned(logits), 1), ids[:, None, 1:]
+    got = np.take_along_axis(d, at, 1)[:, 0]
+    rest, likely = np.maximum(1 - got, 1e-6), share >= 0
+    loss = float(np.where(likely, -np.log(np.maximum(got, 1e-12)) * share, np.log(rest) * share).sum())
+    d *= np.where(likely, share, share * got / rest)[:, None].astype(d.dtype)
+    np.put_along_axis(d, at, (np.where(likely, got - 1, -got) * share)[:, None], 1)
+    known, last, r, cos, sin = steps[-1]
+    both = (d @ _turned(last)).sum(0)
+    grads = {"embedding": both * w["last_norm"], "last_norm": np.einsum("ij,ij->j", both, w["embedding"])}
+    dx = _norm_back(known.T @ d, last, r)
     for i in reversed(range(layers_of(w))):
-        x, r1, a, q, k, v, sums, blocks, each, o, y, r2, b, g, u, s = steps[i]
-        gs = g * s
-        grads[f"{i}.down"] = flat(gs * u).T @ flat(dx)
-        dh = dx @ w[f"{i}.down"].T
-        dg, du = dh * u * (s + gs * (1 - s)), dh * gs
-        grads[f"{i}.gate"], grads[f"{i}.up"] = flat(b).T @ flat(dg), flat(b).T @ flat(du)
-        db, grads[f"{i}.norm2"] = _norm_back(dg @ w[f"{i}.gate"].T + du @ w[f"{i}.up"].T, y, r2, w[f"{i}.norm2"])
-        dy = dx + db
-        grads[f"{i}.out"] = flat(o).T @ flat(dy)
-        do = _split(dy @ w[f"{i}.out"].T, heads)
-        dq, dk, dv = _attend_back(do, each, q, k, v, sums, blocks)
-        dq *= 1 / math.sqrt(q.shape[-1])
-        back = {"query": _rotate(_join(dq), cos, -sin, quarter), "key": _rotate(_join(dk), cos, -sin, quarter), "value": _join(dv)}
-        da = 0
-        for m, part in back.items():
-            grads[f"{i}.{m}"] = flat(a).T @ flat(part)
-            da = da + part @ w[f"{i}.{m}"].T
-        dn, grads[f"{i}.norm1"] = _norm_back(da, x, r1, w[f"{i}.norm1"])
-        dx = dy + dn
+        three, two, a, r1, q, k, v, sums, blocks, o, b, r2, u, s, gs, h = steps[i]
+        grads[f"{i}.down"] = (dx @ _turned(h)).sum(0).T
+        dh, both = w[f"{i}.down"] @ dx, np.empty((len(dx), len(two), dx.shape[2]), dx.dtype)
+        dg, du = both[:, : s.shape[1]], both[:, s.shape[1] :]
+        np.multiply(dh, gs, out=du)
+        np.subtract(1, s, out=dg)
+        dg *= gs
+        dg += s
+        dg *= u
+        dg *= dh
+        grads |= _parted(w, both, b, f"{i}.norm2", f"{i}.gate", f"{i}.up")
+        dx += _norm_back(two.T @ both, b, r2)
+        grads[f"{i}.out"] = (dx @ _turned(o.reshape(dx.shape))).sum(0).T
+        dqkv = _attend_back((w[f"{i}.out"] @ dx).reshape(o.shape), o, q, k, v, sums, blocks)
+        dqkv[:, 0] *= 1 / math.sqrt(q.shape[2])
+        dqkv[:, :2] = _rotate(dqkv[:, :2], cos, -sin)
+        dqkv = dqkv.reshape(len(dx), -1, dx.shape[2])
+        grads |= _parted(w, dqkv, a, f"{i}.norm1", *(f"{i}.{m}" for m in ("query", "key", "value")))
+        dx += _norm_back(three.T @ dqkv, a, r1)
     read = ids[:, :-1].reshape(-1)
     order = np.argsort(read, kind="stable")
     found, first = np.unique(read[order], return_index=True)
-    grads["embedding"][found] += np.add.reduceat(flat(dx)[order], first)
+    grads["embedding"][found] += np.add.reduceat(_turned(dx).reshape(len(read), -1)[order], first)
     return loss, grads
 
 
 class Optimiser:
-    """AdamW with clipped gradients and a slow average of the weights."""
+    """AdamW with clipped gradients and a slow average of the weights. Tensors are parts of one array, so a step is a few operations."""
 
     def __init__(self, w: Weights):
-        self.w = {n: t.copy() for n, t in w.items()}
-        self.average = {n: t.copy() for n, t in w.items()}
-        self.m, self.v = ({n: np.zeros_like(t) for n, t in w.items()} for _ in range(2))
+        self.w, self._w = self._parts(w)
+        self.average, self._average = self._parts(w)
+        self._shrink = np.concatenate([np.full(t.size, DECAY if t.ndim > 1 else 0, np.float32) for t in w.values()])
+        self.m, self.v = np.zeros_like(self._w), np.zeros_like(self._w)
         self.step = 0
 
+    @staticmethod
+    def _parts(w: Weights) -> tuple[Weights, np.ndarray]:
+        whole = np.concatenate([t.reshape(-1) for t in w.values()])
+        ends = np.cumsum([t.size for t in w.values()])
+        return {n: whole[end - t.size : end].reshape(t.shape) for (n, t), end in zip(w.items(), ends, strict=True)}, whole
+
     def update(self, grads: Weights, rate: float) -> None:
         self.step += 1
-        scale = min(1.0, CLIP / (math.sqrt(sum(float((g * g).sum()) for g in grads.values())) + 1e-9))
-        for n, g in grads.items():
-            g = g * scale
-            self.m[n] = BETA1 * self.m[n] + (1 - BETA1) * g
-            self.v[n] = BETA2 * self.v[n] + (1 - BETA2) * g * g
-            move = self.m[n] / (1 - BETA1**self.step) / (np.sqrt(self.v[n] / (1 - BETA2**self.step)) + 1e-8)
-            shrink = DECAY * self.w[n] if self.w[n].ndim > 1 else 0
-            self.w[n] = (self.w[n] - rate * (move + shrink)).astype(np.float32)
+        g = np.concatenate([grads[n].reshape(-1) for n in self.w])
+        g *= min(1.0, CLIP / (math.sqrt(float(g @ g)) + 1e-9))
+        self.m += (1 - BETA1) * (g - self.m)
+        g *= g
+        self.v += (1 - BETA2) * (g - self.v)
+        move = self.m / (1 - BETA1**self.step) / (np.sqrt(self.v / (1 - BETA2**self.step)) + 1e-8)
+        self._w -= rate * (move + self._shrink * self._w)
         if self.step % AVERAGE_EVERY == 0:
-            for n, t in self.w.items():
-                self.average[n] = KEEP * self.average[n] + (1 - KEEP) * t
+            self._average += (1 - KEEP) * (self._w - self._average)
 
 
 def deeper(w: Weights, shape: Shape, seed: int = 1) -> Weights:
@@ -382,24 +414,62 @@ def choose(logits: np.ndarray, ids: list[int], copied: set[int], rng, temperatur
     return int(rng.choice(kept, p=p[kept] / p[kept].sum()))
 
 
+def _side_by_side(pasts: list[list]) -> list:
+    """The keys and values of several prompts, which end together: keys are turned on by what a shorter prompt is short of.
+
+    What is put before them has no value and no share in the exponents' sums; its key is one of the prompt's own.
+    """
+    out, most = [], max(p[0][0].shape[2] for p in pasts)
+    for layer in zip(*pasts, strict=True):
+        keys, values = [], []
+        for k, v in layer:
+            _, heads, n, size = k.shape
+            cos, sin = (np.repeat(t, n, 1) for t in _angles(most - n, 1, size))
+            k = _turned(_rotate(_turned(k), cos, sin))
+            keys.append(np.concatenate([np.repeat(k[:, :, :1], most - n, 2), k], 2))
+            values.append(np.concatenate([np.zeros((1, heads, most - n, size + 1), v.dtype), v], 2))
+        out.append((np.concatenate(keys), np.concatenate(values)))
+    return out
+
+
+def _continue(w: Weights, heads: int, prompts: list[list[int]], pick, new: int, end: int) -> list[list[int]]:
+    """Up to ``new`` ids after each prompt, which are not empty; ``pick`` (place, logits, ids so far) chooses. Each step is one for all of them."""
+    pasts, made, feed, open_ = [[None] * layers_of(w) for _ in prompts], [[] for _ in prompts], [], set(range(len(prompts)))
+    for i, t in enumerate(prompts):
+        feed.append(pick(i, forward(w, np.array([t]), heads, pasts[i])[0][0, -1], t))
+    past = _side_by_side(pasts)
+    for left in reversed(range(new)):
+        for i in sorted(open_):
+            if feed[i] == end:
+                open_.remove(i)
+                feed[i] = 0  # nobody reads what comes after it
+            else:
+                made[i].append(feed[i])
+        if not left or not open_:
+            break
+        logits = forward(w, np.array(feed)[:, None], heads, past)[0][:, -1]
+        for i in open_:
+            feed[i] = pick(i, logits[i], [*prompts[i], *made[i]])
+    return made
+
+
 def continued(prompts: DataFrame, w: Weights, shape: Shape, new: int, end: int, temperature: float = 0.8, top_p: float = 0.9, penalty: float = 1.2, copy_bonus: float = 0.0, no_repeat: int = 3, key: str = "id") -> DataFrame:
-    """key and ids: up to ``new`` ids after each prompt (key, ids), until ``end``. The same prompt always draws the same."""
+    """key and ids: up to ``new`` ids after each prompt (key, ids), until ``end``. The same prompt always draws the same numbers."""
     held = prompts.sparkSession.sparkContext.broadcast(_checked(w))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for i, t in zip(part[key], part["ids"], strict=True):
-                rng, past = np.random.default_rng(zlib.crc32(str(i).encode())), [None] * layers_of(held.value)
-                ids, made, asked = list(map(int, t)), [], set(map(int, t))
-                feed = ids
-                while feed and len(made) < new:
-                    logits, _ = forward(held.value, np.array([feed]), shape.heads, past)
-                    got = choose(logits[0, -1], ids, asked, rng, temperature, top_p, penalty, copy_bonus, no_repeat)
-                    if got == end:
-                        break
-                    ids, made, feed = [*ids, got], [*made, got], [got]
-                out.append(made)
+            names, asked = list(part[key]), [list(map(int, t)) for t in part["ids"]]
+            out, order = [[] for _ in asked], sorted((i for i, t in enumerate(asked) if t and new > 0), key=lambda i: len(asked[i]))
+            for at in range(0, len(order), CONTINUED_TOGETHER):
+                some = order[at : at + CONTINUED_TOGETHER]
+                draws = [np.random.default_rng(zlib.crc32(str(names[i]).encode())) for i in some]
+
+                def pick(j, logits, ids, some=some, draws=draws):
+                    return choose(logits, ids, set(asked[some[j]]), draws[j], temperature, top_p, penalty, copy_bonus, no_repeat)
+
+                for i, got in zip(some, _continue(held.value, shape.heads, [asked[i] for i in some], pick, new, end), strict=True):
+                    out[i] = got
             yield pd.DataFrame({key: part[key], "ids": out})
 
     return prompts.select(key, "ids").mapInPandas(run, f"{key} long, ids array<int>")
