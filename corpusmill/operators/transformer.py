@@ -376,7 +376,7 @@ def _nats(w: Weights, heads: int, rows: list[np.ndarray]) -> tuple[np.ndarray, n
         ids = np.zeros((len(some), int(size[some[-1]])), np.int64)
         for row, i in zip(ids, some, strict=True):
             row[: size[i]] = rows[i]
-        p = np.take_along_axis(_softmax(forward(w, ids[:, :-1], heads)[0]), ids[:, 1:, None], -1)[..., 0]
+        p = np.take_along_axis(_softmax(_turned(forward(w, ids[:, :-1], heads)[0]), 1), ids[:, None, 1:], 1)[:, 0]
         wanted = np.arange(1, ids.shape[1])[None] < size[some, None]
         nats[some] = np.where(wanted, -np.log(np.maximum(p, 1e-12)), 0).sum(1, dtype=float) / (size[some] - 1)
     return np.maximum(size - 1, 0), nats
@@ -384,15 +384,21 @@ def _nats(w: Weights, heads: int, rows: list[np.ndarray]) -> tuple[np.ndarray, n
 
 def scored(rows: DataFrame, w: Weights, shape: Shape, key: str = "id") -> DataFrame:
     """key, tokens, nats: the mean negative log probability of each sequence's tokens; shorter than two: none."""
-    held = rows.sparkSession.sparkContext.broadcast(_checked(w))
+    return scored_by(rows, {"nats": w}, shape, key)
+
+
+def scored_by(rows: DataFrame, models: dict[str, Weights], shape: Shape, key: str = "id") -> DataFrame:
+    """As :func:`scored`, with a column for each model of that shape; rows are read and passed to Python once for all of them."""
+    held = rows.sparkSession.sparkContext.broadcast({name: _checked(w) for name, w in models.items()})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _keep_memory()
         for part in parts:
-            tokens, nats = _nats(held.value, shape.heads, list(part["ids"]))
-            yield pd.DataFrame({key: part[key], "tokens": tokens, "nats": nats})
+            ids = list(part["ids"])
+            got = {name: _nats(w, shape.heads, ids) for name, w in held.value.items()}
+            yield pd.DataFrame({key: part[key], "tokens": [max(len(t) - 1, 0) for t in ids]} | {name: nats for name, (_, nats) in got.items()})
 
-    return rows.select(key, "ids").mapInPandas(run, f"{key} long, tokens long, nats double")
+    return rows.select(key, "ids").mapInPandas(run, ", ".join([f"{key} long, tokens long", *(f"`{name}` double" for name in models)]))
 
 
 def choose(logits: np.ndarray, ids: list[int], copied: set[int], rng, temperature: float, top_p: float, penalty: float, copy_bonus: float, no_repeat: int) -> int:
